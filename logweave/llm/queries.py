@@ -2,18 +2,60 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from . import bpe
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .packing import best_fit_packing
+from .pii import digest as pii_digest
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    def run(batches):
+        codec = bpe.load(tokenizer)
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+
+                def tokens(text=text, ids_hash=ids_hash):
+                    nonlocal n
+                    for ids in codec.encode_stream(text or ""):
+                        if ids:
+                            ids_hash.update(("," * (n > 0) + ",".join(map(str, ids))).encode())
+                            n += len(ids)
+                            yield ids
+
+                for part in codec.decode_stream(tokens()):
+                    text_hash.update(part.encode())
+                rows.append((doc_id, n, ids_hash.hexdigest(), text_hash.hexdigest()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select(
@@ -22,7 +64,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_pii": op7_pii,
+    "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
 }
 
