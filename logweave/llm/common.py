@@ -15,7 +15,17 @@ LOWER = UPPER.lower()
 BLANK = " \t\n\x0b\x0c\r"
 
 
+#: Bounds of what a Python worker holds at a time; whole texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,11 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As materialize, bucketed by key: later joins on key don't shuffle this side. df should
+    come dealt by key into parts() partitions, else many small files are written."""
+    spark = df.sparkSession
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts(spark), key).sortBy(key).option("path", f"{shared_dir(spark)}/{table_name}").format("parquet").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 

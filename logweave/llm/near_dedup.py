@@ -9,16 +9,18 @@ at least percent / 100, and kept when they have the smallest doc_id of their lin
 2. Inverted lists of retained values generate overlaps. A value of the union's sketch lies in
    both sets with the pair's similarity, so 16 lists miss a pair at 0.8 with probability
    0.2**16. A value in more than HOT sketches is hot: it marks a shared passage or a large
-   family. A document emits its cold values if at least half of its sketch is cold, and
-   lists of a second kind, among such documents only, if at least a fifth of it is hot. If one
-   of a linked pair is more than 80 % cold, the other is more than half cold; otherwise both
-   are in the second kind. So each linked pair meets, cold lists have at most HOT members, and
-   a passage that many unlike documents share makes no long lists among them.
+   family. A document emits its cold values if at least COLD of its sketch is cold, and
+   lists of a second kind, among such documents only, if at most MIXED of it is cold. If one of
+   a linked pair is more than MIXED cold, the other is at least 0.43 cold and most cold values
+   are shared; otherwise both are in the second kind. So each linked pair meets, cold lists
+   have at most HOT members, and a passage within documents that are otherwise unlike makes no
+   long lists.
 3. Stars first: each list compares its members with one centre, the most central one. What
    the stars link needs no more pairs. Lists whose members then lie in different
-   components compare members across components: all of them in short lists; in long lists,
-   further stars, then everything outside the list's largest component against the rest. So
-   no link between components is lost, and a family of near copies costs about linear work.
+   components compare members across components: all of them in short lists; in long lists a
+   further star, then what lies outside the list's largest component against members of
+   similar size, in blocks of bounded size. So no link between components is lost, and a
+   family of near copies costs about linear work.
 4. Overlaps pass a size bound and the union-sketch estimate (at least ESTIMATE, which a pair at
    0.8 misses with probability under 1e-7); exact Jaccard over full sets confirms them.
 
@@ -38,11 +40,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import bucketed, components, materialize, parts
 
 SKETCH, LISTS, HOT, ESTIMATE = 64, 16, 50, 0.5
-#: Rounds of stars within long lists before the remaining members are compared one by one.
-STAR_ROUNDS = 2
+#: Lists of the second kind, and the larger sketch and closer estimate for blocks of long lists:
+#: a pair at 0.8 fails it with a probability of about 1e-6.
+HOT_LISTS, WIDE_SKETCH, WIDE_ESTIMATE = 10, 256, 0.68
+COLD, MIXED = 0.25, 0.55
+#: Rounds of further stars within long lists before the remaining members are compared in blocks.
+STAR_ROUNDS = 1
+#: Rows of a block.
+BLOCK = 256
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -117,36 +125,30 @@ def _estimate(a, b):
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
 
 
+def _joined(pairs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+    """Pairs (a, b) with the columns of both; rows is bucketed by id. The first join moves only
+    the pairs, by b; the second deals both sides anew, so that a hub's pairs can be split."""
+    side = lambda d, x: d.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in cols])
+    hubs = rows.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+    return pairs.join(side(rows, "b"), "b").join(side(hubs, "a"), "a")
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the size bound and the union-sketch estimate."""
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"s{x}"))
-    return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where(_similar_sizes("na", "nb", percent))
-        .where(_estimate(F.col("sa"), F.col("sb")) >= ESTIMATE)
-        .select("a", "b")
-    )
+    got = _joined(materialize(pairs, "overlaps"), reps, "n", "sk")
+    return got.where(_similar_sizes("na", "nb", percent)).where(_estimate(F.col("ska"), F.col("skb")) >= ESTIMATE).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
-    pairs = materialize(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    needed = _texts(docs).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = materialize(full_sets(needed, width).dropDuplicates(["id"]), "sets")
-    got = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"
-    )
+    got = _joined(materialize(pairs, "candidates"), sets, "s")
     both = F.size(F.array_intersect("sa", "sb"))
     return materialize(got.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b"), "links")
 
 
-def _ordered(a, b):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-
 def _postings(reps: DataFrame) -> DataFrame:
     """(tag, v, doc_id, n, m): members of the lists with at least two members, m being their number."""
+    reps = reps.withColumnRenamed("id", "doc_id")
     flat = reps.select("doc_id", F.explode("sk").alias("v"))
     hot = materialize(flat.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > HOT).select("v"), "hot-values")
     own = flat.join(hot, "v").groupBy("doc_id").agg(F.collect_set("v").alias("hot"))
@@ -155,8 +157,8 @@ def _postings(reps: DataFrame) -> DataFrame:
     d = reps.join(own, "doc_id", "left").withColumn("cold", cold)
     none = F.array().cast("array<long>")
     keys = F.concat(
-        F.transform(F.slice(F.when(share >= 0.5, F.col("cold")).otherwise(none), 1, LISTS), lambda v: F.struct(F.lit(0).alias("tag"), v.alias("v"))),
-        F.transform(F.slice(F.when(share <= 0.8, F.col("sk")).otherwise(none), 1, LISTS), lambda v: F.struct(F.lit(1).alias("tag"), v.alias("v"))),
+        F.transform(F.slice(F.when(share >= COLD, F.col("cold")).otherwise(none), 1, LISTS), lambda v: F.struct(F.lit(0).alias("tag"), v.alias("v"))),
+        F.transform(F.slice(F.when(share <= MIXED, F.col("sk")).otherwise(none), 1, HOT_LISTS), lambda v: F.struct(F.lit(1).alias("tag"), v.alias("v"))),
     )
     p = materialize(d.select("doc_id", "n", F.explode(keys).alias("k")).select("k.tag", "k.v", "doc_id", "n"), "postings")
     lists = materialize(p.groupBy("tag", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "lists")
@@ -164,13 +166,13 @@ def _postings(reps: DataFrame) -> DataFrame:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """(a, b): every member of a list with the list's most central one."""
+    """(a, b): the most central member of a list, with every other one."""
     central = members.groupBy("doc_id").agg(F.sum("m").alias("c"))
     ranked = members.select("tag", "v", "doc_id").join(central, "doc_id")
     centres = materialize(
         ranked.groupBy("tag", "v").agg(F.max(F.struct("c", (-F.col("doc_id")).alias("neg"))).alias("top")).select("tag", "v", (-F.col("top.neg")).alias("centre")), "centres"
     )
-    return members.join(centres, ["tag", "v"]).where("doc_id <> centre").select(*_ordered(F.col("doc_id"), F.col("centre"))).distinct()
+    return members.join(centres, ["tag", "v"]).where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
 def _with_comp(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -191,42 +193,103 @@ def _outside(m: DataFrame) -> DataFrame:
     return m.join(main, ["tag", "v"]).where("comp <> main").drop("main")
 
 
+def _within_reach(n):
+    """Number of the size class; linked sets lie in the same or in neighbouring classes."""
+    return F.floor(F.log(n) / F.log(F.lit(1.26))).cast("int")
+
+
+def _overlaps(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of one block of outside members with one block of members whose sketches overlap
+    enough to pass the estimate, by one product of the two incidence matrices."""
+    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    if len(left) == 0 or len(right) == 0:
+        return none
+    vl, vr = np.concatenate(left["sk"].to_list()), np.concatenate(right["sk"].to_list())
+    values = np.intersect1d(vl, vr)
+
+    def incidence(d: pd.DataFrame, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = d["sk"].map(len).to_numpy()
+        row = np.repeat(np.arange(len(d)), size)
+        col = np.minimum(np.searchsorted(values, v), len(values) - 1)
+        ok = values[col] == v
+        out = np.zeros((len(d), len(values)), np.float32)
+        out[row[ok], col[ok]] = 1
+        return out, size
+
+    (x, kx), (y, ky) = incidence(left, vl), incidence(right, vr)
+    common = x @ y.T
+    union = np.minimum(WIDE_SKETCH, kx[:, None] + ky[None, :] - common)
+    nx, ny = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+    # sets that the wide sketch holds whole are compared exactly
+    whole = (nx <= WIDE_SKETCH) & (ny <= WIDE_SKETCH)
+    good = np.where(whole, common * 100 >= (nx + ny - common) * percent, common >= WIDE_ESTIMATE * union)
+    good &= (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent)
+    good &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+    # a pair belongs to the list of its smallest common key
+    here = int(pdf["v"].iloc[0])
+    lower, heads = np.searchsorted(values, here), [d["sk"].map(lambda k: k[:HOT_LISTS]) for d in (left, right)]
+    if lower:
+        values = values[:lower]
+        (p, _), (q, _) = (incidence(pd.DataFrame({"sk": h}), np.concatenate(h.to_list())) for h in heads)
+        good &= p @ q.T == 0
+    i, j = np.nonzero(good)
+    # of exact links between the same two components one is enough
+    sure = whole[i, j]
+    _, first = np.unique(np.stack([left["comp"].to_numpy()[i[sure]], right["comp"].to_numpy()[j[sure]]]), axis=1, return_index=True)
+    i, j = (np.concatenate([k[sure][first], k[~sure]]) for k in (i, j))
+    a, b = left["doc_id"].to_numpy()[i], right["doc_id"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _long_rest(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Overlapping pairs across components in long lists: what is outside the list's largest
+    component against all members of similar size."""
+    cls = long.withColumn("z", _within_reach(F.col("n")))
+    outside = _outside(cls).withColumn("z", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)))
+    both = materialize(outside.withColumn("side", F.lit(0)).unionByName(cls.withColumn("side", F.lit(1))), "outside")
+    key = ["tag", "v", "z"]
+    count = lambda k: F.ceil(F.sum(F.when(F.col("side") == k, 1).otherwise(0)) / BLOCK).cast("int")
+    blocks = materialize(both.groupBy(*key).agg(count(0).alias("g0"), count(1).alias("g1")).where("g0 > 0 and g1 > 0"), "blocks")
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("side") == 0, F.col("g0")).otherwise(F.col("g1"))).cast("int")
+    meets = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("g1")).otherwise(F.col("g0")) - 1))
+    placed = both.join(blocks, key).withColumn("own", own).withColumn("other", meets)
+    x = F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))
+    y = F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own"))
+    rows = placed.select(*key, x.alias("x"), y.alias("y"), "side", "doc_id", "n", "comp").join(sets.select(F.col("id").alias("doc_id"), F.slice("s", 1, WIDE_SKETCH).alias("sk")), "doc_id")
+    # many small groups with much work in each: keep all partitions
+    dealt = rows.repartition(parts(rows.sparkSession), *key, "x", "y")
+    return dealt.groupBy(*key, "x", "y").applyInPandas(lambda pdf: _overlaps(pdf, percent), "a long, b long").distinct()
+
+
 def near_links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links between representatives that join exactly the components of all links."""
     members = _postings(reps)
-    links = _verified(_estimated(_stars(members), reps, percent), docs, width, percent)
+    dealt = _texts(docs).repartition(parts(docs.sparkSession), "doc_id")
+    needed = dealt.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = bucketed(full_sets(needed, width), "id", "sets")
+    links = _verified(_estimated(_stars(members), reps, percent), sets, percent)
     for _ in range(STAR_ROUNDS):
         left = _with_comp(members.where(F.col("m") > HOT), components(links))
-        if left.limit(1).count() == 0:
-            break
         # a further centre per long list, from outside the list's largest component
         centres = materialize(_outside(left).groupBy("tag", "v").agg(F.min(F.struct("doc_id", "comp")).alias("c")).select("tag", "v", "c.*").toDF("tag", "v", "centre", "cc"), "centres")
-        pairs = left.join(centres, ["tag", "v"]).where("comp <> cc").select(*_ordered(F.col("doc_id"), F.col("centre"))).distinct()
-        links = links.union(_verified(_estimated(pairs, reps, percent), docs, width, percent))
+        pairs = left.join(centres, ["tag", "v"]).where("comp <> cc").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+        links = links.union(_verified(_estimated(pairs, reps, percent), sets, percent))
     m = _with_comp(members, components(links))
     short = m.where(F.col("m") <= HOT)
     x, y = (d.select("tag", "v", *[F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "comp")]) for d, s in ((short, "a"), (short, "b")))
     across = x.join(y, ["tag", "v"]).where((F.col("doc_ida") < F.col("doc_idb")) & (F.col("compa") != F.col("compb")) & _similar_sizes("na", "nb", percent))
-    pairs = across.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct()
-    found = _verified(_estimated(pairs, reps, percent), docs, width, percent)
-    # long lists: what is outside the largest component, against all members of other components
-    long = m.where(F.col("m") > HOT)
-    sk = reps.select("doc_id", "sk")
-    x, y = (
-        d.join(sk, "doc_id").select("tag", "v", *[F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "comp", "sk")]) for d, s in ((_outside(long), "a"), (long, "b"))
-    )
-    close = (F.col("compa") != F.col("compb")) & _similar_sizes("na", "nb", percent) & (_estimate(F.col("ska"), F.col("skb")) >= ESTIMATE)
-    rest = x.join(y, (x.tag == y.tag) & (x.v == y.v) & close).select(*_ordered(F.col("doc_ida"), F.col("doc_idb"))).distinct()
-    return links.union(found).union(_verified(rest, docs, width, percent))
+    pairs = across.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).union(_long_rest(m.where(F.col("m") > HOT), sets, percent)).distinct()
+    return links.union(_verified(_estimated(pairs, reps, percent), sets, percent))
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     base = materialize(sketches(docs, width), "sketches")
     classes = materialize(base.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    reps = materialize(
-        base.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "fp"]).select("doc_id", "n", "sk"), "reps"
-    )
+    dealt = base.where("n > 0").repartition(parts(docs.sparkSession), "doc_id")
+    reps = dealt.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = bucketed(reps.select(F.col("doc_id").alias("id"), "n", "sk"), "id", "reps")
     links = near_links(docs, reps, width, percent)
     # a class of copies is a star around its representative
     copies = materialize(classes.where("size > 1").select("fp", "rep"), "copied")
