@@ -39,7 +39,9 @@ def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split("text", "\n", -1)).alias("line"))
     keys = lines.where(F.length("line") >= min_chars).select("doc_id", _key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
     hashed = materialize(keys.select("doc_id", F.unhex(F.md5(F.col("k").cast("binary"))).alias("h")).distinct(), "line-keys")
-    hot = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    hot = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).select("h", "last")
+    # read back, so that both sides of the join are dealt anew and a hot line's rows can be split
+    hot = materialize(hot, "frequent-lines")
     return hashed.join(hot, "h").where("doc_id < last").select("h", "doc_id")
 
 

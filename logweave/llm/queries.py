@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from . import bpe, quality, toxicity
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import best_fit_packing
@@ -32,10 +34,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
@@ -80,7 +90,9 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_html_extract": op6_html_extract,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
