@@ -29,8 +29,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 CHUNK = 1 << 16
 #: Pre-tokens longer than this many bytes go through the window.
 LONG = 256
-#: Entries of the table of remembered pre-tokens; it is emptied when full.
-REMEMBERED = 400_000
+#: Entries of each of the two tables of remembered pre-tokens; a full one replaces the older,
+#: so pre-tokens in use stay known.
+REMEMBERED = 300_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -78,26 +79,26 @@ class Bpe:
         self._split = regex.compile(PATTERN)
         self._runs = [regex.compile(p) for p in (r"\p{L}*", r"\p{N}*", r"[^\p{White_Space}\p{L}\p{N}]*", r"\p{White_Space}*")]
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     # ---- merging -------------------------------------------------------------------
 
     def merge(self, data: bytes) -> list[int]:
         """Tokens of one whole pre-token: the lowest rank first, leftmost among equals."""
         ids = [self.byte_ids[b] for b in data]
-        pairs = self.pairs
-        while len(ids) > 1:
-            best = min((pairs.get(p, (1 << 30, 0)) for p in zip(ids, ids[1:])), key=lambda x: x[0])
-            if best[0] == 1 << 30:
+        pairs, none = self.pairs, (1 << 30, 0)
+        found = [pairs.get(p, none) for p in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
                 break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and pairs.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = found.index(best)
+            ids[i] = best[1]
+            del ids[i + 1], found[i]
+            if i:
+                found[i - 1] = pairs.get((ids[i - 1], ids[i]), none)
+            if i < len(found):
+                found[i] = pairs.get((ids[i], ids[i + 1]), none)
         return ids
 
     def merge_stream(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
@@ -148,9 +149,11 @@ class Bpe:
     def word(self, word: str) -> tuple[int, ...]:
         """Tokens of a short pre-token, remembered."""
         if (got := self._known.get(word)) is None:
+            if (got := self._older.get(word)) is None:
+                got = tuple(self.merge(word.encode("utf-8", "surrogatepass")))
             if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            got = self._known[word] = tuple(self.merge(word.encode("utf-8", "surrogatepass")))
+                self._known, self._older = {}, self._known
+            self._known[word] = got
         return got
 
     # ---- splitting -----------------------------------------------------------------
@@ -213,9 +216,8 @@ class Bpe:
             for item in self.pieces(segment, chunk):
                 if isinstance(item, list):
                     out: list[int] = []
-                    known = self._known
                     for w in item:
-                        got = known.get(w)
+                        got = self._known.get(w)
                         if got is None:
                             if len(w) > LONG:
                                 yield out
@@ -255,3 +257,26 @@ def load(path: str) -> Bpe:
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
     return _LOADED[path]
+
+
+def fast_encoder(path: str):
+    """text -> uint32 ids, the same as Bpe.encode, by the compiled encoder where it fits: the
+    vocabulary numbers its merges in rank order, and the text has no run so long that a whole
+    pre-token would be heavy; such texts go through the streaming encoder."""
+    import numpy as np
+    import tiktoken
+
+    own = load(path)
+    by_rank = sorted((rank, joined) for rank, joined in own.pairs.values())
+    if any(x[1] >= y[1] for x, y in zip(by_rank, by_rank[1:])):
+        return lambda text: np.array(own.encode(text), dtype=np.uint32)
+    ordinary = {b: i for i, b in own.token_bytes.items() if i not in own.special.values()}
+    compiled = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ordinary, special_tokens=own.special)
+    heavy = regex.compile(r"\S{4096}|\s{4096}")
+
+    def encode(text: str):
+        if heavy.search(text):
+            return np.array(own.encode(text), dtype=np.uint32)
+        return compiled.encode_to_numpy(text, allowed_special="all")
+
+    return encode

@@ -36,9 +36,8 @@ END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(ids: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(start, end) of the pieces: full ones from the end, so only the first may be shorter."""
-    n = len(ids)
+def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of n ids: full ones from the end, so only the first may be shorter."""
     head = n % capacity or min(n, capacity)
     bounds = [0, *range(head, n + 1, capacity)]
     return list(zip(bounds, bounds[1:]))
@@ -48,14 +47,13 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capa
     """Pieces of all documents: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
-        enc = bpe.load(tokenizer)
+        encode = bpe.fast_encoder(tokenizer)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = enc.encode(text or "")
-                ids.append(end_id)
-                for k, (a, b) in enumerate(cut(ids, capacity)):
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())))
+                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
+                for k, (a, b) in enumerate(cut(len(ids), capacity)):
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"piece": "int32"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
