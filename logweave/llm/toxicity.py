@@ -31,10 +31,10 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 N_MIN, N_MAX, BITS = 3, 6, 20
 #: Bound of the training sample, for each class.
-MAX_PER_CLASS = 3_000
+MAX_PER_CLASS = 1_500
 #: Code points of the part of a text that is hashed at a time; parts overlap by N_MAX - 1.
 PART = 1 << 18
-EPOCHS, RATE, RIDGE, SMOOTH = 150, 0.5, 1e-4, 1.0
+EPOCHS, RATE, RIDGE, SMOOTH, LEAST_RATIO = 150, 0.5, 1e-4, 1.0, 0.5
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,37 +81,38 @@ def fit(texts: list[str | None], y: np.ndarray) -> Linear:
         rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
         return Linear(np.zeros(size, np.float32), float(np.log(rate / (1 - rate))))
     stamp = np.zeros(size, np.int32)
-    rows = [_present(t, stamp).astype(np.int32) for t in texts]
-    col = np.concatenate(rows)
-    length = np.array([len(r) for r in rows])
-    del rows
-    row = np.repeat(np.arange(len(y), dtype=np.int32), length)
-    p = np.bincount(col, y[row], size) + SMOOTH
-    q = np.bincount(col, 1 - y[row], size) + SMOOTH
+    p, q, total = np.full(size, SMOOTH), np.full(size, SMOOTH), 0
+    for t, label in zip(texts, y):
+        found = _present(t, stamp)
+        (p if label else q)[found] += 1
+        total += len(found)
     ratio = np.log(p / (y.sum() + 2 * SMOOTH)) - np.log(q / ((1 - y).sum() + 2 * SMOOTH))
     # seen once or never: no say
     ratio[(p + q) < 2 * SMOOTH + 2] = 0
-    used = np.flatnonzero(np.abs(ratio) > 0.3)
+    used = np.flatnonzero(np.abs(ratio) > LEAST_RATIO)
     # only columns that separate the classes take part; the rest would keep weights near nothing
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    mask = place[col] >= 0
-    col, row = place[col[mask]], row[mask]
-    r = ratio[used]
-    w, b = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
-    scale = 1.0 / np.sqrt(max(1.0, float(length.mean())))
-    value = (r * scale)[col].astype(np.float32)
+    rows = [(c := place[_present(t, stamp)])[c >= 0] for t in texts]
+    col = np.concatenate(rows)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in rows])
+    del rows
+    r = ratio[used].astype(np.float32)
+    w, b = np.zeros(len(used), np.float32), float(np.log(y.mean() / (1 - y.mean())))
+    scale = 1.0 / np.sqrt(max(1.0, total / len(y)))
+    value = (r * np.float32(scale))[col]
     sq, sqb = np.full(len(used), 1e-8), 1e-8
     # both classes weigh the same, whatever their numbers
     weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     for _ in range(EPOCHS):
         z = np.bincount(row, w[col] * value, len(y)) + b
         e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        e = e.astype(np.float32)
         g = np.bincount(col, e[row] * value, len(used)) / len(y) + RIDGE * w
         gb = float(e.mean())
         sq += g * g
         sqb += gb * gb
-        w -= RATE * g / np.sqrt(sq)
+        w -= (RATE * g / np.sqrt(sq)).astype(np.float32)
         b -= RATE * gb / np.sqrt(sqb)
     out = np.zeros(size, np.float32)
     out[used] = w * r * scale
