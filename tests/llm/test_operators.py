@@ -1,0 +1,265 @@
+"""The operators on small fixtures, against brute force, with nulls, ties, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from logweave.llm import bpe, embedding_dedup, exact_dedup, html_extract, line_dedup, mph, near_dedup, packing, pii, quality, toxicity
+
+VOCAB = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa".split()
+#: names that operators use inside
+CLASH = ("n", "digest", "keep_id", "comp", "score", "line", "__x", "n_lines", "bucket", "rank", "s", "sk", "id", "spans", "html", "label")
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(n))
+
+
+def corpus():
+    rng = random.Random(1)
+    base = prose(rng, 60)
+    near = base.split()
+    near[5] = "changed"
+    shared = "This passage is long enough to be a key of its own, and more."
+    texts = [base, base.upper(), " ".join(near), None, "", "  \t ", "one", "One", prose(rng, 3000), "é ß 日本 <|endoftext|> x", "x" * 5000]
+    texts += [f"{shared}\n{prose(rng, 12)}\n  {shared.upper()}\t" for _ in range(6)]
+    return [(i * 3, t) for i, t in enumerate(texts)] + [(0, base)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(corpus(), "doc_id bigint, text string")
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASH)]).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_mph_is_minimal_and_perfect():
+    for n in (0, 1, 2, 300):
+        d = np.frombuffer(b"".join(hashlib.sha256(bytes([i % 256, i // 256])).digest() for i in range(n)), np.uint8).reshape(-1, 32)
+        assert sorted(mph.slots(mph.build(d), n, d)) == list(range(n))
+
+
+def test_exact(docs, empty):
+    rows = exact_dedup.exact_dedup(docs, shard_keys=4).collect()
+    assert len(rows) == len(corpus()) and exact_dedup.exact_dedup(empty).count() == 0
+    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    groups = {}
+    for i, t in corpus():
+        groups.setdefault(fold(t), []).append(i)
+    by = {fold(t): hashlib.sha256(fold(t).encode()).hexdigest() for _, t in corpus()}
+    want = sorted((i, max(g), len(g), i == max(g), by[k]) for k, g in groups.items() for i in g)
+    assert sorted(tuple(r) for r in rows) == want
+
+
+def brute_lines(rows):
+    held = {}
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            k = re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+            held.setdefault(k, set()).add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        keys = [re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r")) for x in lines]
+        stay = [x for x, k in zip(lines, keys) if not (len(k) >= 40 and len(held[k]) >= 5 and i != max(held[k]))]
+        out.append((i, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    return sorted(out)
+
+
+def test_lines(docs, empty):
+    got = line_dedup.line_dedup(docs)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_lines", "n_dropped", "text").collect()) == brute_lines(corpus())
+    assert line_dedup.line_dedup(empty).count() == 0 and set(CLASH) <= set(got.columns)
+
+
+def brute_near(rows, width):
+    sets, par = {}, {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+        par[i] = i
+
+    def root(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                par[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_near(spark, docs, empty):
+    rng = random.Random(2)
+    rows = corpus()
+    # a family of near copies larger than a cold list, a chain, and a passage in unlike texts
+    base, passage = prose(rng, 80).split(), prose(rng, 30)
+    for i in range(70):
+        v = list(base)
+        for _ in range(rng.randint(0, 5)):
+            v[rng.randrange(len(v))] = f"w{rng.randint(0, 9999)}"
+        rows.append((1000 + i, " ".join(v)))
+        rows.append((2000 + i, passage + " " + prose(rng, rng.choice([12, 30, 90]))))
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 80).collect()
+    want = brute_near(rows, 4)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_shingles"], r["component_id"], r["kept"]) == (*want[r["doc_id"]], want[r["doc_id"]][1] == r["doc_id"]), r
+    assert near_dedup.near_dedup(empty).count() == 0
+    assert near_dedup.keep_first(docs).columns == docs.columns
+
+
+def test_bpe_is_exact():
+    own, ref, fast = bpe.load(VOCAB), Tokenizer.from_file(VOCAB), bpe.fast_encoder(VOCAB)
+    rng = random.Random(3)
+    parts = ["a", "th", "'s", "'re", "'", " ", "  ", "\n", "\x1c", "　", "12", "é", "日本", "!!", "<|endoftext|>", "<|endof", "😀", "İ"]
+    texts = ["", "'s" + "a" * 3000, " " * 3000 + "x", "ab" * 3000, *("".join(rng.choice(parts) * rng.choice([1, 1, 2, 40]) for _ in range(20)) for _ in range(300))]
+    for t in texts:
+        want = ref.encode(t, add_special_tokens=False).ids
+        for chunk in (16, 33, 1 << 16):
+            assert [i for b in own.encode_stream(t, chunk) for i in b] == want, (t, chunk)
+        assert fast(t).tolist() == want
+        assert "".join(own.decode_stream([[i] for i in want])) == ref.decode(want, skip_special_tokens=False)
+    for _ in range(300):
+        ids = [rng.randrange(50257) for _ in range(6)]
+        assert "".join(own.decode_stream([ids])) == ref.decode(ids, skip_special_tokens=False)
+
+
+def test_packing(docs, empty):
+    rows = packing.best_fit_packing(docs, VOCAB).collect()
+    ref = Tokenizer.from_file(VOCAB)
+    seqs, total = {}, 0
+    for i, t in corpus():
+        total += len(ref.encode(t or "", add_special_tokens=False).ids) + 1
+    texts = {i: [*ref.encode(t or "", add_special_tokens=False).ids, 2] for i, t in corpus()}
+    for r in rows:
+        ids = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r["ids_crc32"] and len(ids) == r["length"]
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(r["length"] for r in rows) == total
+    for s in seqs.values():
+        at = 0
+        for o, n in sorted(s):
+            assert o == at
+            at += n
+        assert at <= 1024
+    assert len(seqs) <= -(-total // 1024) + 1 and packing.best_fit_packing(empty, VOCAB).count() == 0
+
+
+def test_plan_is_complete_and_tight():
+    rng = random.Random(4)
+    h = {rng.randint(1, 1023): rng.randint(1, 500) for _ in range(200)}
+    bins = packing.plan(h)
+    used = {}
+    for times, filling in bins:
+        assert sum(filling) <= 1024
+        for x in filling:
+            used[x] = used.get(x, 0) + times
+    assert used == h
+    assert sum(t for t, _ in bins) <= 1.01 * -(-sum(k * v for k, v in h.items()) // 1024) + sum(v for k, v in h.items() if k > 512) * 0.05 + 1
+    assert packing.fullest({3: 2, 5: 1}, 9) == [3, 5] or sum(packing.fullest({3: 2, 5: 1}, 9)) == 8
+
+
+def test_pii(spark, docs, empty):
+    rows = [
+        (1, "mail a.b+c@x-y.co.uk, a@b.c@d.e ip 1.2.3.4 256.1.1.1 1.2.3.4.5 001.2.3.4"), (2, "card 4111 1111 1111 1111, 4111111111111112; +1 (555) 010-9999x"),
+        (3, "é my iban GB82 WEST 1234 5698 7654 32, order GB83 WEST 1234 5698 7654 32. Further on, after the numbers above, the ssn 123-45-6789"), (4, None), (5, "+12 1 2 3"), (6, "9" * 3000 + "@" * 100),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    base = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+    def luhn(d):
+        return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(d)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
+
+    def ok(k, m):
+        d = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": k != "ip" or all(int(x) <= 255 for x in m.split(".")), "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[k]
+
+    got = {r["doc_id"]: r for r in pii.digest(df).collect()}
+    for i, t in rows:
+        found = [f"{k}:{m.start()}:{m.end()}" for k, p in base for m in re.finditer(p, t or "") if ok(k, m[0])]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(found).encode()).hexdigest(), i
+        assert got[i]["spans"].startswith(",".join(found))
+    assert "iban:10:37" in got[3]["spans"] and "national:" in got[3]["spans"] and got[3]["spans"].count("iban") == 1
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert clean[3].startswith("é my iban [IBAN], order GB83") and clean[4] is None and clean[5] == "+12 1 2 3"
+    assert pii.redact(docs).columns == docs.columns and pii.digest(empty).count() == 0
+
+
+def test_html():
+    page = html_extract.Page(
+        '<body><div id="cookie-notice">We use cookies</div><nav><a href="/">Home</a></nav><div class="wrap"><div class="sidebar"><p>Side text here</p></div><div class="post-12 content"><h2>T &amp; x</h2>'
+        '<p>One<br>two &lt;b&gt;<p>Thr<i>ee</i><ul><li>a<li>b</ul><form>go</form><div class="comments"><p>bad</p></div><script>var a="</p>";</script></div></div><footer>foot</footer>'
+    )
+    assert page.text(page.best()) == "T & x\n\nOne two <b>\n\nThree\n\na\n\nb"
+    for source in (None, "", "<<<>>", '<div class="ad', '<p a="b>c'):
+        p = html_extract.Page(source)
+        p.text(p.best())
+
+
+def test_html_consensus(spark):
+    good = '<body><div class="post-{}"><p>{}</p></div><div class="extra"><p>{}</p></div></body>'
+    rows = [(i, f"https://Site.org:80/{i}", good.format(i, "long text " * 20, "x")) for i in range(5)]
+    rows += [(9, "http://site.org/9", good.format(9, "short text", "promoted words " * 30)), (10, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit(1)).withColumn("winner", F.lit(2))
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    assert got[9] == "short text" and got[10] == "" and html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((120, 16))
+    x[40:80] = x[:40] + 0.35 * rng.standard_normal((40, 16))
+    x[80:90] = x[0]
+    rows = [(int(i), v.tolist(), int(i % 2 if i >= 90 else 0)) for i, v in enumerate(x)]
+    rows += [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, x[0].tolist(), None), (204, [1.0], 0), (205, [*x[1].tolist()[:15], None], 0)]
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), block_rows=7).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows[:120]])
+    hit = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(hit, False)
+    recall = sum(got[i]["n_links"] for i in range(120)) / hit.sum()
+    assert recall >= 0.95 and all(got[i]["n_links"] <= hit[i].sum() for i in range(120))
+    assert all(got[i]["component_id"] == 0 and got[i]["n_links"] >= 10 for i in range(80, 90))
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(200, 206))
+    assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id bigint, embedding array<double>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("module, column", [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers(spark, docs, module, column):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        t = prose(rng, 30)
+        if bad:
+            t = t + " vile wretch" if column == "toxic" else " ".join(["zz!!"] * 30)
+        rows.append((i, t))
+        labels.append((i, int(bad) if column == "toxic" else int(not bad)))
+    d, y = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, f"doc_id bigint, {column} int")
+    got = module.classify(d, y).collect()
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in range(300) if zlib.crc32(str(i).encode()) % module.FOLDS == module.HELD_OUT}
+    assert sum(r["predicted"] == labels[r["doc_id"]][1] for r in held) >= 0.95 * len(held)
+    assert all(r["score"] == 0.5 for r in module.classify(docs, y.limit(0)).collect())
+    assert len(module.classify(docs, y).collect()) == len(corpus()) and module.classify(docs.limit(0), y).count() == 0
+
+
+def test_quality_keeps_columns(spark, docs):
+    y = spark.createDataFrame([(0, 1)], "doc_id bigint, quality int")
+    assert quality.keep_good(docs, y).columns == docs.columns
