@@ -63,7 +63,7 @@ def mod97(s: Column) -> Column:
     """The mod-97 check of an IBAN: four characters moved to the end, letters as 10 to 35."""
     flat = F.regexp_replace(s, " ", "")
     turned = F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, F.lit(1), F.lit(4)))
-    codes = F.transform(F.split(turned, "(?!^)"), lambda c: F.when(c.between("0", "9"), c.try_cast("int")).otherwise(F.ascii(c) - 55))
+    codes = F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), lambda c: F.when(c.between("0", "9"), c.try_cast("int")).otherwise(F.ascii(c) - 55))
     return F.aggregate(codes, F.lit(0), lambda a, x: (F.when(x > 9, a * 100).otherwise(a * 10) + x) % 97) == 1
 
 
