@@ -16,8 +16,8 @@ listed: per group only counts and a spanning forest of the links leave the task.
 A vector's caps reach down to CAP of its best score, so every vector is in some filters and
 vectors at cosine 0.93 share one with a high probability; tests measure it against brute force.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or
-non-finite components link with nothing, as do rows without a label; they keep themselves.
+Defined results: vectors that are null, zero or hold null or non-finite components link with
+nothing, as do rows without a label; they keep themselves. Vectors of different lengths don't link.
 Repeated vec_ids are one vertex and each returned; ties keep the smallest vec_id; an empty
 table gives an empty result; other columns are ignored.
 """
@@ -25,10 +25,10 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import components, materialize
 
@@ -50,12 +50,9 @@ class Filters:
         for _ in range(tables):
             q, _r = np.linalg.qr(rng.standard_normal((dim, dim)))
             self.turns.append(q)
-            w = [rng.standard_normal((code, b - a)) for a, b in zip(self.cuts, self.cuts[1:])]
-            self.words.append([x / np.linalg.norm(x, axis=1, keepdims=True) for x in w])
-
-    @property
-    def bits(self) -> int:
-        return len(self.turns) * self.code**BLOCKS
+            # a block of few dimensions has no use for many words
+            w = [rng.standard_normal((min(code, 4 ** (b - a)), b - a)) for a, b in zip(self.cuts.tolist(), self.cuts.tolist()[1:])]
+            self.words.append([x / np.linalg.norm(x, axis=1, keepdims=True) if x.size else x for x in w])
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """Sorted filter numbers of each unit vector."""
@@ -68,7 +65,7 @@ class Filters:
                 a, b = (s[i, o[i]] for s, o in zip(scores, order))
                 least = self.cap * (a[0] + b[0])
                 # a row at a time, best first: stop at the first score that fails
-                for x in range(self.code):
+                for x in range(len(a)):
                     n = int(np.searchsorted(-b, a[x] - least, side="right"))
                     if n == 0:
                         break
@@ -76,10 +73,6 @@ class Filters:
         return [np.sort(np.concatenate(o)) if o else np.empty(0, np.int64) for o in out]
 
 
-def _usable(v, dim: int) -> bool:
-    return v is not None and len(v) == dim and np.isfinite(v).all() and bool(np.any(v))
-
-
 def _unit(v: np.ndarray) -> np.ndarray:
     # scaled first, so that squares neither overflow nor vanish
     v = v / np.abs(v).max(axis=1, keepdims=True)
@@ -100,63 +93,110 @@ def classes(vectors: DataFrame) -> DataFrame:
     return v.withColumn("key", F.when(fine, F.unhex(key)))
 
 
-def _hits(reps: DataFrame, dim: int) -> DataFrame:
-    """vec_id, label, k (class size), embedding, filters."""
+def _hits(reps: DataFrame) -> DataFrame:
+    """vec_id, space, k (class size), unit (vector of length 1), filters (sorted)."""
 
     def run(batches):
-        f = Filters(dim)
-        for pdf in batches:
-            ok = [_usable(v, dim) for v in pdf["embedding"]]
-            pdf = pdf[ok]
-            if len(pdf):
-                yield pdf.assign(filters=f.decode(_unit(np.stack(pdf["embedding"].to_list()))))
-
-    schema = reps.select("vec_id", "label", "k", "embedding").schema
-    return reps.select("vec_id", "label", "k", "embedding").mapInPandas(run, schema.add("filters", T.ArrayType(T.LongType())))
-
-
-def _compare(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
+        filters: dict[int, Filters] = {}
+        for batch in batches:
+            vectors = batch.column("embedding")
+            length = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            for dim in np.unique(length):
+                some = np.flatnonzero(length == dim)
+                rows = batch.take(pa.array(some))
+                unit = _unit(rows.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(some), dim))
+                f = filters.get(int(dim)) or filters.setdefault(int(dim), Filters(int(dim)))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("vec_id"), rows.column("space"), rows.column("k"), pa.array(list(unit), pa.list_(pa.float64())), pa.array(f.decode(unit), pa.list_(pa.int32()))],
+                    names=["vec_id", "space", "k", "unit", "filters"],
+                )
+
+    schema = "vec_id long, space string, k long, unit array<double>, filters array<int>"
+    return reps.select("vec_id", "space", "k", "embedding").mapInArrow(run, schema)
+
+
+def _earlier(lists: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of left and right rows have a number in both their lists."""
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    numbers, place = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    held = np.zeros((len(size), len(numbers)), np.float32)
+    held[np.repeat(np.arange(len(size)), size), place] = 1
+    return held[left] @ held[right].T > 0
+
+
+def _forest(hit: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Links of hit that join all that its links join."""
+    shift = 0 if same else len(hit)
+    comp = np.arange(shift + hit.shape[1])
+    out = []
+    for p in np.flatnonzero(hit.any(axis=1)):
+        q = np.flatnonzero(hit[p])
+        roots, first = np.unique(comp[q + shift], return_index=True)
+        out += [(p, q[x]) for x in first[roots != comp[p]]]
+        comp[np.isin(comp, roots)] = comp[p]
+    return out
+
+
+def _compare(rows: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Links of one filter between two blocks (or within one): per vector its number n, and the
     links of a forest with n = -1."""
-    here = int(pdf["filter"].iloc[0])
-    same = bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
-    left = pdf if same else pdf[pdf["side"] == 0]
-    right = pdf if same else pdf[pdf["side"] == 1]
-    empty = pd.DataFrame({"vec_id": np.empty(0, np.int64), "n": np.empty(0, np.int64), "other": np.empty(0, np.int64)})
+    same = rows["x"][0] == rows["y"][0]
+    side = rows["side"].to_numpy()
+    left, right = (np.arange(len(side)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     if len(left) == 0 or len(right) == 0:
-        return empty
-    u, w = (_unit(np.stack(d["embedding"].to_list())) for d in (left, right))
-    hit = u @ w.T >= cosine
+        return None
+    unit = rows["unit"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+    hit = unit[left] @ unit[right].T >= cosine
     if same:
         hit = np.triu(hit, 1)
-    i, j = np.nonzero(hit)
-    if len(i) == 0:
-        return empty
+    if not hit.any():
+        return None
     # a pair belongs to the first filter that both are in
-    a, b = left["filters"].to_list(), right["filters"].to_list()
-    first = np.array([np.intersect1d(a[p], b[q], assume_unique=True)[0] == here for p, q in zip(i, j)], dtype=bool)
-    i, j = i[first], j[first]
-    ids_l, ids_r = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-    k_l, k_r = left["k"].to_numpy(), right["k"].to_numpy()
-    counts: dict[int, int] = {}
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    forest = []
-    for p, q in zip(i, j):
-        s, t = int(ids_l[p]), int(ids_r[q])
-        counts[s] = counts.get(s, 0) + int(k_r[q])
-        counts[t] = counts.get(t, 0) + int(k_l[p])
-        if (rs := root(s)) != (rt := root(t)):
-            parent[rs] = rt
-            forest.append((s, -1, t))
-    rows = [(s, n, s) for s, n in counts.items()] + forest
-    return pd.DataFrame(rows, columns=["vec_id", "n", "other"], dtype=np.int64)
+    hit &= ~_earlier(rows["before"].combine_chunks(), left, right)
+    ids, k = rows["vec_id"].to_numpy(), rows["k"].to_numpy()
+    tree = np.array(_forest(hit, same), np.int64).reshape(-1, 2)
+    vec_id = np.concatenate([ids[left], ids[right], ids[left][tree[:, 0]]])
+    n = np.concatenate([hit @ k[right], hit.T @ k[left], np.full(len(tree), -1)])
+    other = np.concatenate([ids[left], ids[right], ids[right][tree[:, 1]]])
+    return vec_id[n != 0], n[n != 0], other[n != 0]
+
+
+#: What names a comparison; rows arrive sorted by it.
+MEETING = ["space", "filter", "x", "y"]
+
+
+def _meetings(batches):
+    """The rows of one comparison after the other; besides a batch, at most one comparison is held."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if kept is not None:
+            rows = pa.concat_tables([kept, rows])
+        turn = np.zeros(max(len(rows) - 1, 0), bool)
+        for name in MEETING:
+            c = rows[name]
+            turn |= pc.not_equal(c.slice(1), c.slice(0, max(len(c) - 1, 0))).to_numpy()
+        cuts = [0, *(np.flatnonzero(turn) + 1)]
+        yield [rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+        kept = rows.slice(cuts[-1])
+    if kept is not None and len(kept) > 1:
+        yield [kept]
+
+
+def _links(pairs: DataFrame, cosine: float) -> DataFrame:
+    """The result of _compare for every comparison of pairs.
+
+    Most comparisons hold a few rows, so they are read as sorted runs of a partition; one call
+    of Python for each would cost more than its work.
+    """
+
+    def run(batches):
+        for several in _meetings(batches):
+            found = [f for f in (_compare(rows, cosine) for rows in several) if f]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["vec_id", "n", "other"])
+
+    return pairs.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(run, "vec_id long, n long, other long")
 
 
 def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -164,23 +204,20 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int
     all_rows = materialize(classes(vectors), "vectors")
     fine = all_rows.where("key is not null")
     sizes = materialize(fine.groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("k")), "vector-classes")
-    reps = (
-        fine.join(sizes, "key").where("vec_id = rep").select("vec_id", "label", "k", "embedding").dropDuplicates(["vec_id"])
-    )
-    # the length that most vectors have; others can't be compared with them
-    dims = fine.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = dims[0]["d"] if dims else 1
-    hits = materialize(_hits(reps, dim), "filters")
-    flat = hits.select("*", F.explode("filters").alias("filter"))
-    members = flat.select("label", "filter").groupBy("label", "filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # vectors meet within a label and a length
+    space = F.concat(F.col("label").cast("string"), F.lit(":"), F.size("embedding").cast("string")).alias("space")
+    reps = fine.join(sizes, "key").where("vec_id = rep").select("vec_id", space, "k", "embedding").dropDuplicates(["vec_id", "space"])
+    hits = materialize(_hits(reps), "filters")
+    flat = hits.select("vec_id", "space", "k", "unit", "filters", F.posexplode("filters").alias("before", "filter"))
+    members = flat.select("space", "filter").groupBy("space", "filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = materialize(members.withColumn("g", F.ceil(F.col("m") / block_rows).cast("int")), "filter-sizes")
-    placed = flat.join(members, ["label", "filter"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("g")).cast("int"))
+    placed = flat.join(members, ["space", "filter"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("g")).cast("int"))
     # each block meets every block of its filter once
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "label", "filter", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "vec_id", "k", "embedding", "filters",
+        "space", "filter", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "vec_id", "k", "unit", F.slice("filters", F.lit(1), F.col("before")).alias("before"),
     )
-    found = pairs.groupBy("label", "filter", "x", "y").applyInPandas(lambda pdf: _compare(pdf, cosine), "vec_id long, n long, other long")
+    found = _links(pairs, cosine)
     found = materialize(found, "vector-links")
     counts = found.where("n > 0").groupBy("vec_id").agg(F.sum("n").alias("n"))
     links = found.where("n < 0").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))
