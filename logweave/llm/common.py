@@ -71,26 +71,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     that occurs in an edge, comp being the smallest id reachable.
 
     Every round takes the smallest neighbouring label (a partial aggregate, so a hub of any
-    degree is combined before the shuffle), then halves the label chains by pointer jumping.
-    Rounds grow with the logarithm of the longest shortest path, for typical graphs.
+    degree is combined before the shuffle), gives it to one's own root too, then halves the label
+    chains by pointer jumping. Rounds grow with the logarithm of the longest shortest path, for
+    typical graphs. Edges are dealt once into ranges; a label goes to each range its vertex is
+    in, so a hub's edges are never one key of a join.
     """
     e = edges.select("a", "b").where("a <> b")
     both = materialize(e.union(e.select(F.col("b"), F.col("a"))).distinct(), "edges")
     lab = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    both = materialize(both.repartitionByRange("b", "a").withColumn("part", F.spark_partition_id()), "edges-dealt")
+    places = materialize(both.select(F.col("b").alias("id"), "part").distinct(), "edges-places")
     for _ in range(max_rounds):
-        near = (
-            both.join(lab.select(F.col("id").alias("b"), "comp"), "b")
-            .select(F.col("a").alias("id"), "comp")
-            .union(lab.select("id", "comp"))
-        )
-        # hooking: a neighbour's label also lowers the label of one's own root
-        hook = (
-            both.join(lab.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
-            .join(lab.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a")
-            .where("cb < ca")
-            .select(F.col("ca").alias("id"), F.col("cb").alias("comp"))
-        )
-        low = near.union(hook).groupBy("id").agg(F.min("comp").alias("comp"))
+        sent = lab.join(places, "id").select(F.col("id").alias("b"), "part", "comp")
+        near = both.join(sent, ["b", "part"]).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+        seen = lab.join(near, "id").select("id", "comp", F.least("comp", "near").alias("near"))
+        # one row for the vertex, one that lowers its root
+        low = seen.select(F.explode(F.array("id", "comp")).alias("id"), F.col("near").alias("comp")).groupBy("id").agg(F.min("comp").alias("comp"))
         jump = low.alias("l").join(
             low.select(F.col("id").alias("rid"), F.col("comp").alias("rcomp")).alias("r"), F.col("comp") == F.col("rid"), "left"
         ).select("id", F.least("comp", F.coalesce("rcomp", "comp")).alias("comp"))
