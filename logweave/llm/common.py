@@ -66,6 +66,13 @@ def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
 
+def dealt(df: DataFrame, key: str, tie: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """df sorted into ranges of (key, tie), with its range as part; and the parts that each key is
+    in, as (id, part). A join on key and part then never has all of a hot key in one task."""
+    df = materialize(df.repartitionByRange(key, tie).withColumn("part", F.spark_partition_id()), f"{name}-dealt")
+    return df, materialize(df.select(F.col(key).alias("id"), "part").distinct(), f"{name}-places")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): one row (id, comp) per vertex
     that occurs in an edge, comp being the smallest id reachable.
@@ -73,23 +80,23 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Every round takes the smallest neighbouring label (a partial aggregate, so a hub of any
     degree is combined before the shuffle), gives it to one's own root too, then halves the label
     chains by pointer jumping. Rounds grow with the logarithm of the longest shortest path, for
-    typical graphs. Edges are dealt once into ranges; a label goes to each range its vertex is
-    in, so a hub's edges are never one key of a join.
+    typical graphs. Edges are dealt once into ranges, labels in every round; what is known of a
+    vertex goes to each range it is in, so neither a hub's edges nor the members of a large
+    component are one key of a join.
     """
     e = edges.select("a", "b").where("a <> b")
     both = materialize(e.union(e.select(F.col("b"), F.col("a"))).distinct(), "edges")
     lab = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    both = materialize(both.repartitionByRange("b", "a").withColumn("part", F.spark_partition_id()), "edges-dealt")
-    places = materialize(both.select(F.col("b").alias("id"), "part").distinct(), "edges-places")
+    both, places = dealt(both, "b", "a", "edges")
     for _ in range(max_rounds):
         sent = lab.join(places, "id").select(F.col("id").alias("b"), "part", "comp")
         near = both.join(sent, ["b", "part"]).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         seen = lab.join(near, "id").select("id", "comp", F.least("comp", "near").alias("near"))
         # one row for the vertex, one that lowers its root
         low = seen.select(F.explode(F.array("id", "comp")).alias("id"), F.col("near").alias("comp")).groupBy("id").agg(F.min("comp").alias("comp"))
-        jump = low.alias("l").join(
-            low.select(F.col("id").alias("rid"), F.col("comp").alias("rcomp")).alias("r"), F.col("comp") == F.col("rid"), "left"
-        ).select("id", F.least("comp", F.coalesce("rcomp", "comp")).alias("comp"))
+        low, ranges = dealt(low, "comp", "id", "labels")
+        roots = ranges.join(low.select("id", F.col("comp").alias("root")), "id").select(F.col("id").alias("comp"), "part", "root")
+        jump = low.join(roots, ["comp", "part"]).select("id", F.least("comp", "root").alias("comp"))
         new = materialize(jump, "labels")
         changed = new.join(lab.withColumnRenamed("comp", "old"), "id").where("comp <> old").limit(1).count()
         lab = new
