@@ -343,7 +343,9 @@ def continuation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.lines.where("rule = 0").select("file_index", "r0.turn", "r0.role", "r0.text", "r0.line")
 
 
-@query("""SELECT event_id AS line, CASE WHEN event_id % 2 = 0 THEN 'counter' ELSE 'raw' END AS rule_name FROM events WHERE event_id % 2 = 0 OR true""")
+@query("""WITH l AS (SELECT event_id, CASE WHEN event_id % 16 = 1 THEN 'MORE' ELSE 'START' END AS t FROM events),
+n AS (SELECT event_id, t, lead(t, 1, 'START') OVER (ORDER BY event_id) AS following FROM l)
+SELECT event_id AS line, CASE WHEN t = 'START' AND following = 'START' THEN 'counter' ELSE 'raw' END AS rule_name FROM n""")
 def continuation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries whose joined value no longer converts fall back line by line."""
     rules = r"""
@@ -357,8 +359,8 @@ rules:
     fields: {n: string, line: {type: int, meta: source_line}}
 """
     e = _events(spark, sf_dir)
-    # each file is one START with a MORE after it, or a START alone
-    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("START "), F.col("event_id").cast("string"))).otherwise(F.lit("MORE x"))
+    # a START with a MORE after it joins to two numbers, which is no int; a START alone converts
+    text = F.concat(F.when(F.col("event_id") % 16 == 1, "MORE ").otherwise("START "), F.col("event_id").cast("string"))
     p = _parse(_lines(e, text), rules)
     return p.lines.select(F.coalesce("r0.line", "r1.line").alias("line"), F.when(F.col("rule") == 0, "counter").when(F.col("rule") == 1, "raw").alias("rule_name"))
 
