@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -298,16 +299,26 @@ def parse_lines(lines: DataFrame, rules: RuleSet, now: datetime | None = None, t
     cut = cut.withColumn("__run", F.col("__on") | F.coalesce(F.lead("__on").over(in_file), F.lit(False)))
     single = route(cut.where(~F.col("__run")).select(*lines.columns), rules, now, tz)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        source, index = pdf["source"].iloc[0], int(pdf["file_index"].iloc[0])
-        rows = fold(list(zip(pdf["line_no"].tolist(), pdf["text"])), rules, source, now, tz)
-        return pd.DataFrame(
-            [(index, source, n, v[0] if k < 0 else None, None if k < 0 else k, v, key and {"us": key[0], "ns": key[1]}) for n, k, v, key in rows],
-            columns=["file_index", "source", "line_no", "text", "rule", "vals", "key"],
-        ).astype({"rule": "Int32"})
-
-    runs = cut.where("__run").groupBy("file_index", "__seg").applyInPandas(
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["file_index", "source", "line_no", "text", "rule", "vals", "key"]).astype({"rule": "Int32"})
+
+    def run(batches):
+        # runs are short and many, so they are read as sorted stretches of a partition
+        read = (x for pdf in batches for x in zip(pdf["file_index"], pdf["__seg"], pdf["source"], pdf["line_no"], pdf["text"]))
+        done = []
+        for (index, _), stretch in groupby(read, key=lambda x: x[:2]):
+            stretch = list(stretch)
+            source = stretch[0][2]
+            for n, k, v, key in fold([x[3:] for x in stretch], rules, source, now, tz):
+                done.append((index, source, n, v[0] if k < 0 else None, None if k < 0 else k, v, key and {"us": key[0], "ns": key[1]}))
+            if len(done) >= 1000:
+                yield frame(done)
+                done = []
+        if done:
+            yield frame(done)
+
+    order = ["file_index", "__seg"]
+    runs = cut.where("__run").select(*order, "source", "line_no", "text").repartition(*order).sortWithinPartitions(*order, "line_no").mapInPandas(
         run, "file_index int, source string, line_no bigint, text string, rule int, vals array<string>, key struct<us: bigint, ns: smallint>"
     )
     typed = runs.select("file_index", "source", "line_no", "text", "rule", "key", *[_typed(r, i) for i, r in enumerate(rules.rules)])
