@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, materialize, parts
+from .common import bucketed, components, dealt, materialize, parts
 
 SKETCH, LISTS, HOT, ESTIMATE = 64, 16, 50, 0.5
 #: Lists of the second kind, and the larger sketch and closer estimate for blocks of long lists:
@@ -127,10 +127,11 @@ def _estimate(a, b):
 
 def _joined(pairs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
     """Pairs (a, b) with the columns of both; rows is bucketed by id. The first join moves only
-    the pairs, by b; the second deals both sides anew, so that a hub's pairs can be split."""
-    side = lambda d, x: d.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in cols])
-    hubs = rows.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    return pairs.join(side(rows, "b"), "b").join(side(hubs, "a"), "a")
+    the pairs, by b. Pairs are dealt into ranges of (a, b) and a's columns go to each range it is
+    in, so the pairs of a hub are never one key of the second join."""
+    side = lambda d, x, *more: d.select(F.col("id").alias(x), *more, *[F.col(c).alias(f"{c}{x}") for c in cols])
+    pairs, places = dealt(pairs, "a", "b", "pairs")
+    return pairs.join(side(rows, "b"), "b").join(side(rows.join(places, "id"), "a", "part"), ["a", "part"])
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
