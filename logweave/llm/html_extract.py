@@ -8,8 +8,14 @@ container; votes are counted per host (partial counts, so a host with any share
 combined before the shuffle), and each page is read again with its host's winning path, or its
 own best container where the page has no such path.
 
-Boilerplate elements (navigation, headers, footers, asides, forms, scripts, adverts, notices,
-reader comments and the like, by tag, class, id or role) are left out within the winner too.
+Boilerplate elements are left out within the winner too. They are told by tag (navigation,
+headers, footers, asides, forms, media), by the `hidden` attribute or a style that hides, by
+role, and by the tokens of class and id. A token that is a mark as a whole ("sidebar", "comments")
+always counts; a compound whose first or last word is one ("site-footer", "comment-list") counts
+unless another token names content ("entry-content"); compounds that only describe a state
+("no-sidebar", "ad-free", "overflow-hidden", "category-social") never do. An `article` or `main`
+inside a form or a marked layout wrapper is read all the same, but never inside comments, adverts,
+side columns or the boilerplate tags.
 
 Defined results: null html counts as empty and gives an empty text; pages without a host vote
 among themselves; repeated rows vote each and are each returned; among equal votes the larger
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,41 +41,81 @@ BLOCK = CONTAINERS | {
     "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "nav", "ol", "p", "pre", "summary", "table", "tbody", "tfoot", "th", "thead", "tr", "ul", "aside", "menu", "dialog",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "object", "canvas", "audio", "video", "map", "fieldset", "label", "input"}
-#: Elements whose content is not text.
-RAW = "script|style|noscript|template|svg|math|iframe|textarea|select|head|title"
-#: Words of a class, id or role that mark boilerplate; whole words between separators.
-MARKS = set(
-    "ad ads adv advert advertisement advertising adsense adbox sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr sidebar side "
-    "menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended recommendations comment comments reply replies disqus respond newsletter subscribe "
-    "signup login popup modal overlay footer header masthead toolbar widget pager pagination copyright skip search complementary contentinfo tags hidden".split()
+#: Elements without main text; what may wrap a whole page is LAYOUT (1), the others are OUT (2).
+LAYOUT, OUT = 1, 2
+LEFT_OUT = dict.fromkeys(
+    "nav header footer aside button menu dialog object canvas audio video map label select noscript template svg math".split(), OUT
+) | {"form": LAYOUT, "fieldset": LAYOUT}
+#: Elements whose content is no markup.
+RAW = "script|style|title|textarea|iframe|noembed|noframes"
+#: Words that mark boilerplate: reader comments and adverts, side columns, layout.
+FOREIGN = set("comment comments reply replies disqus respond ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsors sponsored promo promos promotion".split())
+SIDE = set("sidebar sidebars related recommended recommendations complementary".split())
+FRAME = set(
+    "banner cookie cookies consent notice notices gdpr menu nav navbar navigation breadcrumb breadcrumbs share sharing social newsletter subscribe "
+    "signup login popup modal overlay footer header masthead toolbar pager pagination copyright skip search contentinfo tags".split()
 )
+MARKS = FOREIGN | SIDE | FRAME
+#: Marks as a whole token only.
+ALONE = {"widget", "widgets", "side", "alert", "dialog", "form"}
+#: First and last words of compounds that describe a state or a subject, not the element.
+STATES = set("no non not without has have with is are hide show js overflow category tag topic type status format term tax".split())
+QUALITIES = set("free less open closed enabled disabled active fixed sticky visible".split())
 GOOD = set("article content post entry story text main body maincontent".split())
 #: Elements that the start of a tag closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|(?=<body)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|(?=<body[\s>])|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDES = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none", re.IGNORECASE)
-_WORDS = re.compile(r"[^a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _DIGITS = re.compile(r"\d+")
-
-
-def _attributes(attrs: str) -> tuple[str, bool, bool]:
-    """(generalised classes, marked as boilerplate, marked as content)."""
-    if "=" not in attrs:
-        return "", bool(attrs.strip() and _HIDES.search(attrs)), False
-    classes, words = "", set()
-    for name, a, b, c in _NAMED.findall(attrs):
-        value = a or b or c
-        if name.lower() == "class":
+_WORTH_READING = re.compile(r"class|id\b|role|hidden|style", re.IGNORECASE)
+
+
+@lru_cache(1 << 14)
+def token_kind(token: str) -> tuple[str, str]:
+    """What a class, id or role says: ("whole" or "part", its family of marks), ("good", ""), or ("", "")."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    if not words or words[0] in STATES and len(words) > 1 or words[-1] in QUALITIES:
+        return "", ""
+    for w in (words[0], words[-1]):
+        if w in MARKS or len(words) == 1 and w in ALONE:
+            return "whole" if len(words) == 1 else "part", "foreign" if w in FOREIGN else "side" if w in SIDE else "frame"
+    return ("good", "") if words[-1] in GOOD else ("", "")
+
+
+def read_attributes(tag: str, attrs: str) -> tuple[str, int, bool, bool]:
+    """(generalised classes, 0 or how far it is left out, names content, is the main element)."""
+    main = tag in ("article", "main")
+    if not _WORTH_READING.search(attrs):
+        return "", 0, False, main
+    classes, kinds, hidden = "", set(), False
+    for name, a, b, c in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name == "class":
             classes = "".join("." + _DIGITS.sub("#", x) for x in sorted(value.lower().split()))
-        words.update(_WORDS.split(value.lower()))
-    return classes, not words.isdisjoint(MARKS) or bool(_HIDES.search(attrs)), not words.isdisjoint(GOOD)
+        if name in ("class", "id", "role"):
+            kinds.update(map(token_kind, value.split()))
+            main = main or (name == "role" and value.strip().lower() in ("main", "article"))
+        elif name == "hidden":
+            hidden = value.lower() not in ("false", "until-found")
+        elif name == "style":
+            hidden = hidden or bool(_HIDING.search(value))
+    good = ("good", "") in kinds
+    whole, part = ({f for k, f in kinds if k == x} for x in ("whole", "part"))
+    if hidden:
+        return classes, OUT, good, main
+    if main or tag in ("html", "body"):
+        # the main element is left out only as a comment or an advert
+        return classes, OUT * (tag not in ("html", "body") and "foreign" in (whole if good else whole | part)), good, main
+    if whole & {"foreign", "side"} or "foreign" in part and not good:
+        return classes, OUT, good, main
+    return classes, LAYOUT if whole or part and not good else 0, good, main
 
 
 class Page:
@@ -92,7 +139,7 @@ class Page:
     def _read(self, source: str) -> None:
         # an element: tag, its path, its container (or that around it), left out, is it a container itself
         root = self._open("", 0.5)
-        stack: list[tuple[str, str, int, bool, bool]] = [("", "", root, False, True)]
+        stack: list[tuple[str, str, int, int, bool]] = [("", "", root, 0, True)]
         parents = {root: -1}
         buf: list[str] = []
         linked = 0
@@ -137,13 +184,16 @@ class Page:
             if m["end"]:
                 if tag == "a":
                     links = 0
-                if not any(e[0] == tag for e in stack):
+                # the end of an inline element does not reach beyond the block around it
+                k = len(stack) - 1
+                while k and stack[k][0] != tag and (tag in BLOCK or tag in LEFT_OUT or stack[k][0] not in BLOCK):
+                    k -= 1
+                if k == 0 or stack[k][0] != tag:
                     continue
                 if tag in BLOCK:
                     flush()
-                while stack[-1][0] != tag:
+                while len(stack) > k:
                     pop()
-                pop()
                 continue
             if tag == "a":
                 links = 1
@@ -170,12 +220,11 @@ class Page:
             attrs = m["attrs"]
             if attrs.endswith("/") and tag not in BLOCK:
                 continue
-            classes, bad, good = _attributes(attrs) if attrs else ("", False, False)
+            classes, own_out, good, main = read_attributes(tag, attrs) if attrs else ("", 0, False, tag in ("article", "main"))
             _, path, node, out, _ = stack[-1]
-            main = tag in ("article", "main")
-            if tag in ("body", "html", "article", "main"):
-                bad = False
-            out = (out and not main) or bad or tag in LEFT_OUT
+            if main and out == LAYOUT:
+                out = 0
+            out = max(out, own_out, LEFT_OUT.get(tag, 0))
             if tag in BLOCK:
                 path = f"{path}/{tag}{classes}"
             inner, is_container = node, tag in CONTAINERS and not out
