@@ -16,6 +16,26 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Separates the groups of a rewritten text; a text that holds it is read group by group.
+SEPARATOR = "\u0001"
+
+
+def captures(text: Column, p: Pattern) -> Column:
+    """Array of "" and the named groups of the first match; one element or null without a match.
+
+    One pass of the expression: the whole text is rewritten to its groups, then split.
+    """
+    groups = list(p.named.values())
+    whole = rf"\A(?s:.*?)(?:{p.java})(?s:.*)\z"
+    rewritten = F.regexp_replace(text, whole, SEPARATOR + SEPARATOR.join(f"${i}" for i in groups))
+    slow = F.when(text.rlike(p.java), F.array(F.lit(""), *[F.regexp_extract(text, p.java, i) for i in groups] or [F.lit("")]))
+    return F.when(text.contains(SEPARATOR), slow).otherwise(F.split(rewritten, SEPARATOR, -1))
+
+
+def matched(groups: Column) -> Column:
+    return F.size(groups) > 1
+
+
 def cast_int(c: Column) -> Column:
     return F.when(c.rlike(r"\A[+-]?[0-9]+\z"), c.try_cast("bigint"))
 
@@ -23,6 +43,7 @@ def cast_int(c: Column) -> Column:
 def cast_float(c: Column) -> Column:
     plain = c.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z")
     value = c.try_cast("double")
+    plain = plain | c.rlike(r"\A[+-]?0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?[0-9]+\z")
     finite = F.when(plain & (F.abs(value) < float("inf")), value)
     low = F.lower(c)
     word = (
@@ -53,6 +74,22 @@ def normalize(c: Column, rules: list[tuple[Pattern, str]]) -> Column:
     return c if out is None else out.otherwise(c)
 
 
+_SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def json_string(c: Column) -> Column:
+    """A JSON string as payload.dumps writes it."""
+    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for x in [*map(chr, range(32)), *"<>&\u2028\u2029"]:
+        out = F.replace(out, F.lit(x), F.lit(_SHORT.get(x, f"\\u{ord(x):04x}")))
+    return F.concat(F.lit('"'), F.when(c.rlike(r'[\x00-\x1f"\\<>&\x{2028}\x{2029}]'), out).otherwise(c), F.lit('"'))
+
+
+def json_object(members: Column) -> Column:
+    """A JSON object of an array of struct<k, v> of strings."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(members, lambda m: F.concat(json_string(m["k"]), F.lit(":"), json_string(m["v"]))), ","), F.lit("}"))
+
+
 def short_hash(c: Column, length: int) -> Column:
     return F.substring(F.sha2(c.cast("binary"), 256), 1, length)
 

@@ -112,38 +112,31 @@ def resolve(fmt: str) -> TimeFormat:
     return TimeFormat((layout(strptime_layout(fmt) if fmt.startswith("%") else fmt),))
 
 
-# ---- as a Column: struct<us, ns>, null where the value doesn't parse ------------------------
+# ---- as a Column: struct<us, ns>; us is null where the value doesn't parse -----------------
 
 
-def _moment(us: Column, ns: Column) -> Column:
-    return F.when(us.isNotNull() & ns.isNotNull(), F.struct(us.cast("bigint").alias("us"), ns.cast("smallint").alias("ns")))
+def _parts(text: Column, lay: Layout) -> Column:
+    """One pass of the expression splits the text into its components."""
+    groups = "\u0001" + "\u0001".join(f"${i}" for i in range(1, len(lay.parts) + 1))
+    return F.when(~text.contains("\u0001"), F.split(F.regexp_replace(text, lay.pattern, groups), "\u0001", -1))
 
 
-def _by_layout(text: Column, lay: Layout, now: datetime, tz: str) -> Column:
-    """One pass of the expression splits the text; everything else works on its parts."""
-    from .exprs import let
-
-    joined = F.regexp_replace(text, lay.pattern, "\u0001".join(f"${i}" for i in range(1, len(lay.parts) + 1)))
-    return F.when(text.rlike(lay.pattern), let(F.split(joined, "\u0001"), lambda parts: _assembled(parts, lay, now, tz)))
-
-
-def _assembled(parts: Column, lay: Layout, now: datetime, tz: str) -> Column:
-    from .exprs import let
-
-    group = {p: i for i, p in enumerate(lay.parts) if p}
+def _numbers(parts: Column, lay: Layout) -> Column:
+    """Year (null if there is none), month, day, seconds of the day, offset, nanoseconds of the second."""
+    group = {p: i for i, p in enumerate(lay.parts, 1) if p}
 
     def part(p: str) -> Column:
-        return parts[group[p]]
+        return F.get(parts, F.lit(group[p]))
 
     def number(p: str, default: int) -> Column:
-        return F.trim(part(p)).try_cast("int") if p in group else F.lit(default)
+        return F.ltrim(part(p)).try_cast("int") if p in group else F.lit(default)
 
     if "b" in group:
-        short = F.lower(F.substring(part("b"), 1, 3))
-        month = F.floor((F.call_function("locate", short, F.lit("".join(m[:3].lower() for m in MONTHS))) + 2) / 3).cast("int")
+        at = F.call_function("locate", F.lower(F.substring(part("b"), 1, 3)), F.lit("".join(m[:3].lower() for m in MONTHS)))
+        month = F.call_function("div", at + 2, F.lit(3)).cast("int")
     else:
         month = number("m", 1)
-    day, minute, second = number("d", 1), number("M", 0), number("S", 0)
+    minute, second = number("M", 0), number("S", 0)
     if "I" in group:
         h = number("I", 0)
         hour = F.when(h <= 12, h)
@@ -153,55 +146,116 @@ def _assembled(parts: Column, lay: Layout, now: datetime, tz: str) -> Column:
     else:
         hour = number("H", 0)
     if "z" in group:
-        z = F.regexp_replace(part("z"), ":", "")
+        z = F.replace(part("z"), F.lit(":"), F.lit(""))
         hh, mm = F.substring(z, 2, 2).try_cast("int"), F.coalesce(F.substring(z, 4, 2).try_cast("int"), F.lit(0))
         offset = F.when(z == "Z", 0).when((hh <= 24) & (mm < 60), (hh * 3600 + mm * 60) * F.when(z.startswith("-"), -1).otherwise(1))
     else:
         offset = F.lit(0)
-    zone = F.lit("UTC" if "z" in group or "Z" in group else tz)
+    if "Y" in group:
+        year = number("Y", 1)
+    elif "y" in group:
+        year = number("y", 0) + F.when(number("y", 0) >= 69, 1900).otherwise(2000)
+    else:
+        year = F.lit(None).cast("int")
     fine = (hour < 24) & (minute < 60) & (second < 60)
+    frac = F.coalesce(F.rpad(F.substring(part("f"), 2, 9), 9, "0").try_cast("int"), F.lit(0)) if "f" in group else F.lit(0)
+    seconds = F.when(fine, hour * 3600 + minute * 60 + second)
+    return F.struct(year.alias("y"), month.alias("m"), number("d", 1).alias("d"), seconds.alias("s"), offset.alias("z"), F.when(part("f") != "", frac).otherwise(0).alias("f") if "f" in group else frac.alias("f"))
 
-    def at(year: Column) -> Column:
-        leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-        over = (month == 2) & (day == 29) & ~leap & F.lit("Y" not in group and "y" not in group)
-        ts = F.try_make_timestamp(year, F.when(over, 3).otherwise(month), F.when(over, 1).otherwise(day), hour, minute, second.cast("decimal(16,6)"), zone)
-        return F.when(fine, F.unix_micros(ts)) - offset.cast("bigint") * 1_000_000
 
-    now_us = int(now.timestamp() * 1_000_000)
-    digits = F.rpad(F.substring(part("f"), 2, 9), 9, "0") if "f" in group else F.lit("0")
-    frac = F.when(F.length(part("f")) > 0, digits.try_cast("int")).otherwise(0) if "f" in group else F.lit(0)
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b))
 
-    def value(us: Column) -> Column:
-        return _moment(us + F.floor(frac / 1000), frac % 1000)
 
-    if "Y" in group:
-        return let(at(number("Y", 1)), value)
-    if "y" in group:
-        y = number("y", 0)
-        return let(at(y + F.when(y >= 69, 1900).otherwise(2000)), value)
-    this = now.astimezone(ZoneInfo(tz)).year
-    return let(at(F.lit(this)), lambda us: F.when(us > now_us, let(at(F.lit(this - 1)), value)).otherwise(value(us)))
+def _days(y: Column, m: Column, d: Column) -> Column:
+    """Days since the epoch of a date of the Gregorian calendar; null if there is no such day."""
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    # years that begin in March, so that the leap day is the last one
+    year, month = y + F.when(m <= 2, 399).otherwise(400), F.when(m <= 2, m + 9).otherwise(m - 3)
+    days = year * 365 + _div(year, 4) - _div(year, 100) + _div(year, 400) + _div(month * 153 + 2, 5) + d - 1 - 719468 - 146097
+    return F.when((m >= 1) & (m <= 12) & (d >= 1) & (d <= last), days)
 
 
-def _by_epoch(text: Column, unit: int) -> Column:
+def _moment(n: Column, lay: Layout, now: datetime, tz: str) -> Column:
+    """struct<us, ns> of the numbers."""
+    yearless = "Y" not in lay.parts and "y" not in lay.parts
+    here = tz if "z" not in lay.parts and "Z" not in lay.parts else "UTC"
+
+    def at(year: Column) -> Column:
+        month, day = n["m"], n["d"]
+        if yearless:
+            # the 29th of February of other years is the 1st of March
+            over = (month == 2) & (day == 29) & ~(((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0))
+            month, day = F.when(over, 3).otherwise(month), F.when(over, 1).otherwise(day)
+        us = (_days(year, month, day).cast("bigint") * 86400 + n["s"] - n["z"]) * 1_000_000
+        return us if here == "UTC" else F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(us), F.lit(here)))
+
+    us = at(n["y"])
+    if yearless:
+        this = now.astimezone(ZoneInfo(tz)).year
+        us = F.when(at(F.lit(this)) > int(now.timestamp() * 1_000_000), at(F.lit(this - 1))).otherwise(at(F.lit(this)))
+    return F.struct((us + _div(n["f"], 1000)).alias("us"), (n["f"] % 1000).cast("smallint").alias("ns"))
+
+
+def _epoch_numbers(text: Column, unit: int) -> Column:
+    from .exprs import cast_float
+
     whole = F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("bigint"))
-    most = (2**63 - 1) // unit
+    return F.struct(whole.alias("whole"), F.when(whole.isNull(), cast_float(text) * float(unit)).alias("f"))
+
+
+def _epoch_moment(n: Column, unit: int) -> Column:
+    whole, f = n["whole"], n["f"]
+    ns = F.when((f > -9.2233720368547e18) & (f < 9.2233720368547e18), f.cast("bigint"))
+
+    def parts(x: Column) -> tuple[Column, Column]:
+        low = F.pmod(x, F.lit(1000))
+        # towards minus infinity, without leaving the range of a bigint
+        return _div(x, 1000) - F.when((x < 0) & (low != 0), 1).otherwise(0), low
+
     if unit >= 1000:
-        exact = F.when(whole.between(-most, most), F.struct((whole * (unit // 1000)).alias("us"), F.lit(0).cast("smallint").alias("ns")))
+        most = (2**63 - 1) // unit
+        us, low = F.when(whole.between(-most, most), whole * (unit // 1000)), F.lit(0)
     else:
-        exact = F.when(whole.isNotNull(), F.struct(((whole - F.pmod(whole, F.lit(1000))).cast("decimal(20,0)") / 1000).cast("bigint").alias("us"), F.pmod(whole, F.lit(1000)).cast("smallint").alias("ns")))
-    from .exprs import cast_float
+        us, low = parts(whole)
+    near_us, near_low = parts(ns)
+    return F.struct(F.when(whole.isNotNull(), us).otherwise(near_us).alias("us"), F.when(whole.isNotNull(), low).otherwise(near_low).cast("smallint").alias("ns"))
 
-    f = cast_float(text) * float(unit)
-    ns = F.when((f > -9.2233720368547e18) & (f < 9.2233720368547e18), f.cast("bigint"))
-    near = F.when(ns.isNotNull(), F.struct(((ns - F.pmod(ns, F.lit(1000))) / 1000).cast("bigint").alias("us"), F.pmod(ns, F.lit(1000)).cast("smallint").alias("ns")))
-    return F.when(whole.isNotNull(), exact).otherwise(near)
+
+def steps(fmt: TimeFormat, now: datetime, tz: str) -> list:
+    """Functions from a text to struct<us, ns>, to be applied one after the other, each to a bound
+    value: every one uses its argument many times."""
+    if fmt.epoch:
+        return [lambda t: _epoch_numbers(t, fmt.epoch), lambda n: _epoch_moment(n, fmt.epoch)]
+
+    def chain_of(lay: Layout) -> list:
+        return [lambda t: _parts(t, lay), lambda p: _numbers(p, lay), lambda n: _moment(n, lay, now, tz)]
+
+    chains = [chain_of(lay) for lay in fmt.layouts]
+    if len(chains) == 1:
+        return chains[0]
+    # several layouts: the next one is tried only where those before it failed
+    return [lambda t: F.coalesce(*[F.when(t.rlike(lay.pattern), _bound(t, chain)) for lay, chain in zip(fmt.layouts, chains)])]
+
+
+def _bound(value: Column, chain: list) -> Column:
+    from .exprs import let
+
+    for f in chain:
+        value = let(value, f)
+    return _strict(value)
+
+
+def _strict(v: Column) -> Column:
+    from .exprs import let
+
+    return let(v, lambda x: F.when(x["us"].isNotNull(), x))
 
 
 def parse_column(text: Column, fmt: TimeFormat, now: datetime, tz: str) -> Column:
-    if fmt.epoch:
-        return _by_epoch(text, fmt.epoch)
-    return F.coalesce(*[_by_layout(text, lay, now, tz) for lay in fmt.layouts])
+    """struct<us, ns> of a text as one expression; null where it doesn't parse."""
+    return _bound(text, steps(fmt, now, tz))
 
 
 # ---- row-wise ---------------------------------------------------------------------------

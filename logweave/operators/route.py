@@ -13,109 +13,125 @@ from datetime import datetime, timezone
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload, timefmt, values
-from ..functions.exprs import cast_float, cast_int, let, mask, mask_value, normalize, replace
+from ..functions.exprs import captures, cast_float, cast_int, json_object, mask, mask_value, matched, normalize, replace
 from ..functions.regex import replace_all, translate
-from ..plans.rules import PAYLOADS, Rule, RuleSet
+from ..plans.rules import PAYLOADS, PRESETS, Rule, RuleSet
 from .order import emission_order
 
+_KEY = "struct<us: bigint, ns: smallint>"
 
-def _payload_column(rule: Rule, rules: RuleSet, raw: Column) -> Column:
-    """struct<keys: array<string>, extra> of a payload; null where it does not parse."""
-    keys = [f.key for f in rule.fields if f.key]
-    preset = translate(_presets()[rule.payload][0]) if rule.payload not in PAYLOADS else None
-    masks, want_extra = rules.key_masks, any(f.extra for f in rule.fields)
-    if preset is not None:
-        # a preset payload needs no Python
-        named = {n: F.regexp_extract(raw, preset.java, i) for n, i in preset.named.items()}
-        missing = any(k not in named for k in keys)
-        left = sorted(n for n in named if n not in keys)
-        extra = F.to_json(F.struct(*[named[n].alias(n) for n in left])) if left else F.lit("{}")
-        for c in "<>&  ":
-            extra = F.replace(extra, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
-        out = F.struct(F.array(*[named[k] for k in keys]).cast("array<string>").alias("keys"), extra.alias("extra"))
-        return F.when(raw.rlike(preset.java) & F.lit(not missing), out)
-
-    @F.pandas_udf("struct<keys: array<string>, extra: string>")
-    def parsed(s: pd.Series) -> pd.DataFrame:
-        got, rest = [], []
-        for text in s:
-            try:
-                flat, typed = payload.parse(text, rule.payload, masks)
-                got.append([flat[k] for k in keys])
-                rest.append(payload.dumps({k: v for k, v in typed.items() if k not in keys}) if want_extra else "")
-            except (payload.PayloadError, KeyError, AttributeError):
-                got.append(None)
-                rest.append(None)
-        return pd.DataFrame({"keys": got, "extra": rest})
 
-    value = parsed(raw)
-    return value
+def _ltsv(raw: Column, keys: list[str], want_extra: bool) -> list:
+    """LTSV by SQL functions; of equal keys the last counts."""
+    cut = lambda x: F.substring_index(x, ":", 1)
 
+    def last(parts: Column, key) -> Column:
+        head = F.concat(key, F.lit(":"))
+        return F.try_element_at(F.transform(F.filter(parts, lambda x: x.startswith(head)), lambda x: F.substring(x, F.length(head) + 1, F.length(x))), F.lit(-1))
 
-def _presets():
-    from ..plans.rules import PRESETS
+    def parsed(parts: Column) -> Column:
+        extra = F.lit("")
+        if want_extra:
+            names = F.array_sort(F.array_distinct(F.transform(parts, cut)))
+            if keys:
+                names = F.filter(names, lambda k: ~k.isin(keys))
+            extra = json_object(F.transform(names, lambda k: F.struct(k.alias("k"), last(parts, k).alias("v"))))
+        return F.struct(F.array(*[last(parts, F.lit(k)) for k in keys]).cast("array<string>").alias("keys"), extra.alias("extra"))
 
-    return PRESETS
+    return [lambda raw: F.when(raw != "", F.filter(F.split(raw, "\t", -1), lambda x: x.contains(":"))), lambda parts: F.when(parts.isNotNull(), parsed(parts))]
 
 
-def _moment(fmt: timefmt.TimeFormat, now: datetime, tz: str):
-    return lambda x: timefmt.parse_column(x, fmt, now, tz)
-
-
-def attempt(rule: Rule, rules: RuleSet, text: Column, source: Column, line: Column, now: datetime, tz: str) -> Column:
-    """struct<row, key> of a line under one rule; null where it does not match or convert."""
-    p = rule.compiled
-    group = lambda n: F.regexp_extract(text, p.java, p.index(n))
-    patterns = [translate(q) for f in rule.fields for q, _ in f.replace] + [m[0] for m in rules.pattern_masks]
-    # a value is bound once, except around Python functions, which a bound body cannot hold
-    once = let if not any(q.may_be_empty for q in patterns) else lambda v, body: body(v)
-
-    def row(body: Column | None) -> Column:
-        keys = [f.key for f in rule.fields if f.key]
-        cols, time = [], F.lit(None).cast("struct<us: bigint, ns: smallint>")
-        for i, f in enumerate(rule.fields):
-            if f.meta:
-                cols.append((source if f.meta == "source_file" else line.cast("bigint")).alias(f.name))
-                continue
-            raw = body["extra"] if f.extra else body["keys"][keys.index(f.key)] if f.key else group(f.name)
-            for q, template in f.replace:
-                raw = replace(raw, translate(q), template)
-            raw = normalize(raw, [(translate(q), v) for q, v in f.normalize])
-            if f.type == "int":
-                c = once(raw, cast_int)
-            elif f.type == "float":
-                c = once(raw, cast_float)
-            elif f.type == "timestamp":
-                fmt = timefmt.resolve(f.format)
-                c = once(raw, _moment(fmt, now, tz))
-                if i == rule.sort_field:
-                    time = c
-                c = c["us"]
-            else:
-                c = raw
-                for args in rules.pattern_masks:
-                    c = mask(c, *args)
-            cols.append(c.alias(f.name))
-        return F.struct(F.struct(*cols, F.lit(1).alias("_none")).alias("row"), time.alias("key"))
-
-    def complete(w: Column) -> Column:
-        fine = F.lit(True)
-        for f in rule.fields:
-            fine = fine & w["row"][f.name].isNotNull()
-        cols = [(F.timestamp_micros(c) if f.type == "timestamp" else c).alias(f.name) for f in rule.fields for c in [w["row"][f.name]]]
-        return F.when(fine, F.struct(F.struct(*cols, F.lit(1).alias("_none")).alias("row"), w["key"].alias("key")))
-
+def _payload_steps(rule: Rule, rules: RuleSet) -> list:
+    """Steps from the payload's text to struct<keys: array<string>, extra>, null where it does not parse."""
+    keys = [f.key for f in rule.fields if f.key]
+    masks, want_extra = rules.key_masks, any(f.extra for f in rule.fields)
+    if rule.payload not in PAYLOADS:
+        p = translate(PRESETS[rule.payload][0])
+        place = {n: i for i, n in enumerate(p.named, 1)}
+        left = sorted(n for n in place if n not in keys)
+
+        def of_preset(groups: Column) -> Column:
+            pick = lambda n: F.get(groups, F.lit(place[n]))
+            extra = json_object(F.array(*[F.struct(F.lit(n).alias("k"), pick(n).alias("v")) for n in left])) if left and want_extra else F.lit("{}")
+            got = F.array(*[pick(k) if k in place else F.lit(None) for k in keys]).cast("array<string>")
+            return F.when(matched(groups), F.struct(got.alias("keys"), extra.alias("extra")))
+
+        return [lambda raw: captures(raw, p), of_preset]
+    if rule.payload == "ltsv" and not masks:
+        return _ltsv(None, keys, want_extra)
+    shape = pa.struct([("keys", pa.list_(pa.string())), ("extra", pa.string())])
+
+    @F.arrow_udf("struct<keys: array<string>, extra: string>")
+    def parsed(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            try:
+                flat, typed = payload.parse(text, rule.payload, masks)
+                out.append({"keys": [flat[k] for k in keys], "extra": payload.dumps({k: v for k, v in typed.items() if k not in keys}) if want_extra else ""})
+            except (payload.PayloadError, KeyError, AttributeError):
+                out.append(None)
+        return pa.array(out, shape)
+
+    return [parsed]
+
+
+def _field_steps(f, rules: RuleSet, now: datetime, tz: str) -> list:
+    """Steps from a field's text to its value; for a timestamp, to struct<us, ns>."""
+    out = [lambda c, q=translate(q), t=template: replace(c, q, t) for q, template in f.replace]
+    if f.normalize:
+        pairs = [(translate(q), v) for q, v in f.normalize]
+        out.append(lambda c: normalize(c, pairs))
+    if f.type == "int":
+        return [*out, cast_int]
+    if f.type == "float":
+        return [*out, cast_float]
+    if f.type == "timestamp":
+        return [*out, *timefmt.steps(timefmt.resolve(f.format), now, tz)]
+    return [*out, *[lambda c, m=m: mask(c, *m) for m in rules.pattern_masks]]
+
+
+def attempt(lines: DataFrame, i: int, rules: RuleSet, now: datetime, tz: str) -> DataFrame:
+    """lines (with rule, key and the rows of the rules before i) tried under rule i.
+
+    Every step is a projection of its own, so what it reads is computed once; lines that an
+    earlier rule took have null groups, which cost nothing further on.
+    """
+    rule, own = rules.rules[i], lines.columns
+    caps = lines.select("*", F.when(F.col("rule").isNull(), captures(F.col("text"), rule.compiled)).alias("_g"))
+    place = {n: k for k, n in enumerate(rule.compiled.named, 1)}
+    group = lambda n: F.get(F.col("_g"), F.lit(place[n]))
+    hit = matched(F.col("_g"))
     if rule.payload:
-        # the payload is bound first, so that a rule whose payload fails stops there
-        parsed = _payload_column(rule, rules, group(rule.source))
-        tried = once(parsed, lambda b: F.when(b["keys"].isNotNull(), once(row(b), complete)))
-    else:
-        tried = once(row(None), complete)
-    return F.when(text.rlike(p.java), tried)
+        caps = caps.select("*", group(rule.source).alias("_p"))
+        for step in _payload_steps(rule, rules):
+            caps = caps.select(*own, "_g", step(F.col("_p")).alias("_p"))
+        hit = hit & F.col("_p.keys").isNotNull()
+    keys = [f.key for f in rule.fields if f.key]
+    cols, todo = [], []
+    for f in rule.fields:
+        if f.meta:
+            cols.append(F.col("source") if f.meta == "source_file" else F.col("line_no").cast("bigint"))
+        else:
+            cols.append(F.col("_p.extra") if f.extra else F.get(F.col("_p.keys"), F.lit(keys.index(f.key))) if f.key else group(f.name))
+        todo.append([] if f.meta else _field_steps(f, rules, now, tz))
+    out = caps.select(*own, hit.alias("_hit"), *[c.alias(f"_f{j}") for j, c in enumerate(cols)])
+    for k in range(max(map(len, todo), default=0)):
+        nxt = [(s[k](F.col(f"_f{j}")) if k < len(s) else F.col(f"_f{j}")).alias(f"_f{j}") for j, s in enumerate(todo)]
+        out = out.select(*own, "_hit", *nxt)
+    times = [f.type == "timestamp" for f in rule.fields]
+    value = [F.col(f"_f{j}.us" if t else f"_f{j}") for j, t in enumerate(times)]
+    fine = F.coalesce(F.col("_hit"), F.lit(False))
+    for v in value:
+        fine = fine & v.isNotNull()
+    out = out.select(*own, fine.alias("_hit"), *[c.alias(f"_f{j}") for j, c in enumerate(value)], (F.col(f"_f{rule.sort_field}") if rule.sort_field is not None else F.lit(None).cast(_KEY)).alias("_key"))
+    row = F.struct(*[(F.timestamp_micros(F.col(f"_f{j}")) if t else F.col(f"_f{j}")).alias(f.name) for j, (f, t) in enumerate(zip(rule.fields, times))], F.lit(1).alias("_none"))
+    done = {"rule": F.when(F.col("_hit"), F.lit(i)).otherwise(F.col("rule")), "key": F.when(F.col("_hit"), F.col("_key")).otherwise(F.col("key"))}
+    return out.select(*[done.get(c, F.col(c)).alias(c) for c in own], F.when(F.col("_hit"), row).alias(f"r{i}"))
 
 
 # ---- row-wise, for multi-line entries ----------------------------------------------------
@@ -125,7 +141,7 @@ def convert(rule: Rule, rules: RuleSet, raw: dict[str, str], source: str, line:
     """(field texts, key) of captured values, or None; timestamps as microseconds."""
     flat = typed = {}
     if rule.payload:
-        preset = translate(_presets()[rule.payload][0]) if rule.payload not in PAYLOADS else None
+        preset = translate(PRESETS[rule.payload][0]) if rule.payload not in PAYLOADS else None
         try:
             flat, typed = payload.parse(raw[rule.source], rule.payload, [] if preset else rules.key_masks, preset)
         except payload.PayloadError:
@@ -263,14 +279,17 @@ class Parsed:
 
 
 def route(lines: DataFrame, rules: RuleSet, now: datetime, tz: str) -> DataFrame:
-    """Every line on its own: rule, key and the rows of each rule."""
-    out = lines.withColumn("rule", F.lit(None).cast("int")).withColumn("key", F.lit(None).cast("struct<us: bigint, ns: smallint>"))
-    for i, r in enumerate(rules.rules):
-        tried = F.when(F.col("rule").isNull(), attempt(r, rules, F.col("text"), F.col("source"), F.col("line_no"), now, tz))
-        out = out.withColumn("__t", tried).withColumn(f"r{i}", F.col("__t.row"))
-        hit = F.col("__t").isNotNull()
-        out = out.withColumn("key", F.when(hit, F.col("__t.key")).otherwise(F.col("key"))).withColumn("rule", F.when(hit, F.lit(i)).otherwise(F.col("rule"))).drop("__t")
-    return out
+    """Every line on its own: rule, key and the rows of each rule.
+
+    The result leaves through a generator: a filter on it (a rule's table, the rejected lines)
+    cannot be pushed below, where it would repeat the whole attempt.
+    """
+    own = lines.columns
+    out = lines.withColumn("rule", F.lit(None).cast("int")).withColumn("key", F.lit(None).cast(_KEY))
+    for i in range(len(rules.rules)):
+        out = attempt(out, i, rules, now, tz)
+    new = [c for c in out.columns if c not in own]
+    return out.select(*own, F.inline(F.array(F.struct(*new))))
 
 
 def _typed(rule: Rule, i: int) -> Column:

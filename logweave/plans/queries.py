@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import tools
 from ..operators.order import with_carried
 from ..operators.route import Parsed, parse_lines
+from ..sources.lines import spread
 from .rules import PRESETS, parse_rules
 
 NOW = datetime(2024, 3, 1, tzinfo=timezone.utc)
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _lines(df: DataFrame, text, source: str = "events", line="event_id", file=None) -> DataFrame:
@@ -163,7 +164,7 @@ _DOC_LINES = "d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, gen
 
 
 def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text"))
     return d.select(F.col("doc_id").cast("int").alias("file_index"), F.col("doc_id").cast("string").alias("source"), (F.col("pos") + 1).cast("bigint").alias("line_no"), "text")
 
 
@@ -183,7 +184,7 @@ def meta_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.col("text"), "documents", "doc_id")
+    return _lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), F.col("text"), "documents", "doc_id")
 
 
 def _whole(fields: str, mask: str = "") -> str:

@@ -98,3 +98,10 @@ def read_lines(spark: SparkSession, paths: list[str], max_line_bytes: int = 0) -
         mine = spark.createDataFrame(rows, SCHEMA)
         out = mine if out is None else out.unionByName(mine)
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out over the session's cores if its files make fewer partitions than that; a scan
+    of many partitions, as any large one is, stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

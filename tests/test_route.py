@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.functions import payload, timefmt, values
-from logweave.functions.exprs import cast_float, cast_int
+from logweave.functions.exprs import captures, cast_float, cast_int, json_string
+from logweave.functions.regex import translate
 from logweave.operators.order import emission_order
 from logweave.operators.route import fold, parse_lines
 from logweave.plans.rules import parse_rules
@@ -31,7 +32,7 @@ def test_time_columns_agree_with_the_reader(spark):
 
 
 def test_casts_agree(spark):
-    texts = ["1", "+7", " 1", "9223372036854775808", "-9223372036854775808", "1_0", "", "1.5", "1e3", "1e999", ".5", "5.", "inf", "-Infinity", "1.5d", "x"]
+    texts = ["1", "+7", " 1", "9223372036854775808", "-9223372036854775808", "1_0", "", "1.5", "1e3", "1e999", ".5", "5.", "inf", "-Infinity", "1.5d", "x", "0x1p-2", "-0X1.8P+1", "0x1", "0xp1", "0x1p99999"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cast_int(F.col("t")).alias("i"), cast_float(F.col("t")).alias("f")).collect()
     for r in rows:
         assert (r["i"], r["f"]) == (values.to_int(r["t"]), values.to_float(r["t"])), r["t"]
@@ -117,3 +118,66 @@ mask:
     short = lambda x: hashlib.sha256(x.encode()).hexdigest()[:4]
     assert [tuple(r) for r in p.table("a").collect()] == [(12, f"x{short('34')}y")]
     assert p.unmatched.first()["text"] == f"bad {short('7')}"
+
+
+def _lines(spark, texts):
+    return spark.createDataFrame([(0, "f", n, t) for n, t in enumerate(texts, 1)], "file_index int, source string, line_no bigint, text string")
+
+
+def test_one_pass_gives_the_groups_of_the_first_match(spark):
+    texts = ["k=1 k=2", "xk= y", "none", "", "a\nk=7\n", "k=\x01\x01 z", "\x01", "k=12\x01"]
+    for source in (r"k=(?P<a>\d*)(?P<b> k)?", r"^(?:x)?(k)=(?P<b>.)", r"(?i)(?P<a>N)o|(?P<b>y)$", r"z"):
+        p = translate(source)
+        rows = _lines(spark, texts).select("text", captures(F.col("text"), p).alias("g"), F.col("text").rlike(p.java).alias("hit"), *[F.regexp_extract("text", p.java, i).alias(n) for n, i in p.named.items()]).collect()
+        for r in rows:
+            want = [r[n] for n in p.named]
+            assert (r["g"][1:] == (want or r["g"][1:]) and len(r["g"]) > 1) if r["hit"] else (r["g"] is None or len(r["g"]) == 1), (source, r)
+
+
+def test_json_strings_and_ltsv_agree_with_the_reader(spark):
+    texts = ["", "plain", 'q"\\b', "<&>\u2028\u2029", "".join(map(chr, range(1, 40))), "é😀\x7f"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_string(F.col("t")).alias("j")).collect()
+    assert all(r["j"] == payload.dumps(r["t"]) for r in got)
+    rules = parse_rules("rules: [{name: p, pattern: '(?s)^(?P<body>.*)$', structured: {source: body, format: ltsv}, fields: {a: {type: string, key: a}, rest: {type: string, extra: true}}}]")
+    lines = ["a:1\tb:2:3\tnone\ta:4", "b:1", "", "a:\t:x\tz:<\ty:\x0b", "none", "a:1\tc:1\tc:2"]
+    got = [tuple(r) for r in parse_lines(_lines(spark, lines), rules, NOW).table("p").collect()]
+    want = []
+    for t in lines:
+        try:
+            flat = payload.parse_ltsv(t)
+            want.append((flat["a"], payload.dumps({k: v for k, v in flat.items() if k != "a"})))
+        except (payload.PayloadError, KeyError):
+            pass
+    assert got == want and len(got) == 3
+
+
+def test_masked_keys_of_flat_payloads_and_chains(spark):
+    for fmt, text in (("ltsv", "pw:x1\tuser:bob"), ("logfmt", "pw=x1 user=bob"), ("json", '{"pw":"x1","user":"bob"}')):
+        rules = parse_rules(
+            f"rules: [{{name: p, pattern: '^(?P<body>.*)$', structured: {{source: body, format: {fmt}}}, fields: {{pw: {{type: string, key: pw}}, rest: {{type: string, extra: true}}}}}}]\n"
+            "mask: [{type: key, pattern: ^pw$, action: redact, value: $1}, {type: key, pattern: w, action: hash, length: 6}]"
+        )
+        row = parse_lines(_lines(spark, [text]), rules, NOW).table("p").first()
+        assert tuple(row) == (hashlib.sha256(b"$1").hexdigest()[:6], '{"user":"bob"}'), fmt
+
+
+def test_lone_surrogates_do_not_end_the_job(spark):
+    rules = parse_rules("rules: [{name: p, pattern: '^(?P<body>.*)$', structured: {source: body, format: json}, fields: {a: {type: string, key: a}, rest: {type: string, extra: true}}}]")
+    rows = parse_lines(_lines(spark, [r'{"a":"\ud800x","b":"\udc00"}', r'{"a":"\ud83d\ude00"}']), rules, NOW).table("p").collect()
+    assert [tuple(r) for r in rows] == [("\ufffdx", '{"b":"\ufffd"}'), ("😀", "{}")]
+    with pytest.raises(payload.PayloadError):
+        payload.parse_logfmt(r'a="\ud800"')
+
+
+def test_a_line_is_tried_once(spark):
+    rules = parse_rules("""
+rules:
+  - {name: access, preset: apache_clf}
+  - {name: p, pattern: '^(?P<body>.*)$', structured: {source: body, format: json}, fields: {a: {type: int, key: a}, rest: {type: string, extra: true}}}
+""")
+    parsed = parse_lines(_lines(spark, ["x", '{"a":1}']), rules, NOW)
+    for df in (*parsed.tables.values(), parsed.unmatched, parsed.counts):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("remote_user") <= plan.count("proto") and plan.count("HTTP") == 0
+        # one rewrite for the groups of each rule and one for the time
+        assert plan.count("regexp_replace(") == 3, plan
