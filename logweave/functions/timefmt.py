@@ -63,19 +63,15 @@ class TimeFormat:
 
 
 def strptime_layout(fmt: str) -> str:
-    out, i = "", 0
-    while i < len(fmt):
-        if fmt[i] == "%":
-            i += 1
-            if i >= len(fmt):
-                raise FormatError(f'strptime format "{fmt}": trailing %')
-            if fmt[i] not in DIRECTIVES:
-                raise FormatError(f'strptime format "{fmt}": unsupported directive %{fmt[i]} (supported: {" ".join("%" + d for d in DIRECTIVES)})')
-            out += DIRECTIVES[fmt[i]]
-        else:
-            out += fmt[i]
-        i += 1
-    return out
+    """A strptime pattern as a reference-time layout."""
+
+    def token(m: re.Match) -> str:
+        if m[1] in DIRECTIVES:
+            return DIRECTIVES[m[1]]
+        what = f"%{m[1]} is no directive here" if m[1] else "it ends in a single %"
+        raise FormatError(f"time format {fmt!r}: {what}; usable are {' '.join(DIRECTIVES)}")
+
+    return re.sub(r"%(.?)", token, fmt, flags=re.DOTALL)
 
 
 def layout(text: str) -> Layout:
