@@ -2,24 +2,33 @@
 
 Vectors are compared within a label by cosine. A filter is a direction; a vector belongs to it
 when it lies in the cap around it. Filter directions are structured: the space is turned at
-random and cut into BLOCKS blocks, each with its own random code of CODE unit vectors, and a
+random and cut into two blocks, each with its own random code of unit vectors, and a
 direction is one code word per block. A vector's score for a direction is then the sum of its
-scores for the code words, so all directions beyond the threshold are list-decoded from a few
-sorted scores instead of being tried one by one. Vectors meet in the filters they share, and a
-product of full double-precision cosines inside a filter verifies them.
-
-Equal vectors of a label form a class that meets only once and counts with its size. Filters
-of many members are cut into blocks of BLOCK_ROWS and the blocks compared in pairs, so no task
-holds more than two blocks. A pair counts in the first filter that both share, so links are counted, never
-listed: per group only counts and a spanning forest of the links leave the task.
-
-A vector's caps reach down to CAP of its best score, so every vector is in some filters and
-vectors at cosine 0.93 share one with a high probability; tests measure it against brute force.
+scores for the code words, so all directions beyond the threshold are list-decoded from the
+few code words that can reach it instead of being tried one by one. Vectors meet in the filters
+they share, and a product of full double-precision cosines inside a filter verifies them.
+
+The filters grow with the table: a label's vectors of one length, n of them, get code words in a number
+of about 4 sqrt(n) a block (a power of two), so about 16 n directions a table. A vector's caps
+reach down to a share of its best score that rises with the code; it is in about a dozen of
+them (their number grows as about n ** 0.12), most of which hold nobody else, and an unlike
+vector shares one with it with a probability that falls faster than 1 / n. Tests hold the growth
+of the comparisons from n to 4 n, and recall at the table's dimension, against brute force.
+
+1. Equal vectors of a label form a class that meets only once and counts with its size.
+2. Ids and filter numbers alone are joined with the filters of two or more members; what is
+   left of a class's filters then goes with its vector, once, to the comparisons.
+3. Filters of many members are cut into blocks of BLOCK_ROWS and the blocks compared in pairs, so
+   no task holds more than two blocks. A pair counts in the first filter that both share, so links
+   are counted, never listed: per comparison only counts and a spanning forest of the links
+   leave the task.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with
-nothing, as do rows without a label; they keep themselves. Vectors of different lengths don't link.
-Repeated vec_ids are one vertex and each returned; ties keep the smallest vec_id; an empty
-table gives an empty result; other columns are ignored.
+nothing, as do rows without a label or a vec_id; they keep themselves. Vectors of different
+lengths don't link. Rows of one vec_id are one vertex with all their vectors: each row has the links of its
+own vector, and all have one component. A vec_id that repeats with the same vector counts once among the links
+of others, with different vectors once for each. Ties keep the smallest vec_id; a null vec_id has
+a null component and is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,94 +42,118 @@ from pyspark.sql import functions as F
 from .common import components, materialize
 
 COSINE = 0.93
-BLOCKS, CODE, TABLES, SEED = 2, 128, 2, 11
-#: A vector joins the directions whose score, over the best possible, is at least this share of its own best.
-CAP = 0.88
-BLOCK_ROWS = 256
+TABLES, SEED = 3, 11
+#: A vector joins the directions whose score is at least a share of its own best: CAP with 256 code
+#: words a block, and CAP_STEP more for each doubling of them, so that a vector's filters hardly grow in number.
+CAP, CAP_STEP = 0.945, 0.003
+#: Code words of a block: about WORDS_PER_ROOT times the root of the number of vectors, within bounds.
+WORDS_PER_ROOT, LEAST_WORDS, MOST_WORDS = 4, 16, 1 << 15
+BLOCK_ROWS = 512
+#: Scores of a batch that are held at a time.
+SCORES = 1 << 20
 
 
 class Filters:
-    """The directions of one dimension; the same on every executor."""
+    """The directions of one dimension and code size; the same on every executor."""
 
-    def __init__(self, dim: int, tables: int = TABLES, code: int = CODE, cap: float = CAP):
+    def __init__(self, dim: int, code: int, tables: int = TABLES):
         rng = np.random.default_rng(SEED)
-        self.dim, self.code, self.cap = dim, code, cap
-        self.cuts = np.linspace(0, dim, BLOCKS + 1).astype(int)
+        self.dim, self.code = dim, code
+        self.cap = CAP + CAP_STEP * (np.log2(code) - 8)
+        self.cut = dim // 2
         self.turns, self.words = [], []
         for _ in range(tables):
             q, _r = np.linalg.qr(rng.standard_normal((dim, dim)))
             self.turns.append(q)
             # a block of few dimensions has no use for many words
-            w = [rng.standard_normal((min(code, 4 ** (b - a)), b - a)) for a, b in zip(self.cuts.tolist(), self.cuts.tolist()[1:])]
+            w = [rng.standard_normal((min(code, 4 ** min(k, 8)), k)) for k in (self.cut, dim - self.cut)]
             self.words.append([x / np.linalg.norm(x, axis=1, keepdims=True) if x.size else x for x in w])
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """Sorted filter numbers of each unit vector."""
         out: list[list[np.ndarray]] = [[] for _ in range(len(unit))]
-        for t, (turn, words) in enumerate(zip(self.turns, self.words)):
-            z = unit @ turn
-            scores = [z[:, a:b] @ w.T for (a, b), w in zip(zip(self.cuts, self.cuts[1:]), words)]
-            order = [np.argsort(-s, axis=1) for s in scores]
-            for i in range(len(unit)):
-                a, b = (s[i, o[i]] for s, o in zip(scores, order))
-                least = self.cap * (a[0] + b[0])
-                # a row at a time, best first: stop at the first score that fails
-                for x in range(len(a)):
-                    n = int(np.searchsorted(-b, a[x] - least, side="right"))
-                    if n == 0:
-                        break
-                    out[i].append(t * self.code**2 + order[0][i, x] * self.code + order[1][i, :n])
+        step = max(1, SCORES // self.code)
+        for t, (turn, (v, w)) in enumerate(zip(self.turns, self.words)):
+            for at in range(0, len(unit), step):
+                z = unit[at : at + step] @ turn
+                a, b = z[:, : self.cut] @ v.T, z[:, self.cut :] @ w.T
+                top_a, top_b = a.max(axis=1), b.max(axis=1)
+                least = self.cap * (top_a + top_b)
+                for i in range(len(z)):
+                    # words that reach the threshold with the best word of the other block
+                    x, y = np.flatnonzero(a[i] >= least[i] - top_b[i]), np.flatnonzero(b[i] >= least[i] - top_a[i])
+                    j, k = np.nonzero(a[i][x][:, None] + b[i][y][None, :] >= least[i])
+                    out[at + i].append((t * self.code + x[j]) * self.code + y[k])
         return [np.sort(np.concatenate(o)) if o else np.empty(0, np.int64) for o in out]
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
+def _units(vectors: pa.Array, n: int) -> np.ndarray:
+    v = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
     # scaled first, so that squares neither overflow nor vanish
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, embedding (doubles), key (identity of the vector within its label; null if it can't link)."""
-    e = F.col("embedding").cast("array<double>")
+    """vec_id, label, embedding, key (identity of the vector within its label; null if it can't link)."""
+    e = F.col("embedding")
+    if not vectors.schema["embedding"].dataType.simpleString() in ("array<float>", "array<double>"):
+        e = e.cast("array<double>")
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), e.alias("embedding"))
     fine = (
         F.col("label").isNotNull()
+        & F.col("vec_id").isNotNull()
         & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
         & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     )
     # -0.0 and 0.0 are one number
-    key = F.md5(F.concat(F.col("label").cast("string"), F.lit(":"), F.to_json(F.struct(F.transform("embedding", lambda x: x + F.lit(0.0)))) ).cast("binary"))
+    key = F.md5(F.concat(F.col("label").cast("string"), F.lit(":"), F.to_json(F.struct(F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))))).cast("binary"))
     return v.withColumn("key", F.when(fine, F.unhex(key)))
 
 
-def _hits(reps: DataFrame) -> DataFrame:
-    """vec_id, space, k (class size), unit (vector of length 1), filters (sorted)."""
+def _code(n):
+    """Code words of a block for n vectors: a power of two."""
+    words = F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt(n.cast("double")) * WORDS_PER_ROOT)))
+    return F.least(F.greatest(words, F.lit(float(LEAST_WORDS))), F.lit(float(MOST_WORDS))).cast("int")
+
+
+def filters_of(reps: DataFrame) -> DataFrame:
+    """(cid, space, filters (sorted)) of classes (cid, space, code, embedding)."""
 
     def run(batches):
-        filters: dict[int, Filters] = {}
+        made: dict[tuple[int, int], Filters] = {}
         for batch in batches:
             vectors = batch.column("embedding")
             length = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
-            for dim in np.unique(length):
-                some = np.flatnonzero(length == dim)
-                rows = batch.take(pa.array(some))
-                unit = _unit(rows.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(some), dim))
-                f = filters.get(int(dim)) or filters.setdefault(int(dim), Filters(int(dim)))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("vec_id"), rows.column("space"), rows.column("k"), pa.array(list(unit), pa.list_(pa.float64())), pa.array(f.decode(unit), pa.list_(pa.int32()))],
-                    names=["vec_id", "space", "k", "unit", "filters"],
-                )
+            code = batch.column("code").to_numpy(zero_copy_only=False)
+            for dim, c in sorted(set(zip(length.tolist(), code.tolist()))):
+                rows = batch.take(pa.array(np.flatnonzero((length == dim) & (code == c))))
+                f = made.get((dim, c)) or made.setdefault((dim, c), Filters(dim, c))
+                got = f.decode(_units(rows.column("embedding"), len(rows)))
+                yield pa.RecordBatch.from_arrays([rows.column("cid"), rows.column("space"), pa.array(got, pa.list_(pa.int64()))], names=["cid", "space", "filters"])
+
+    return reps.select("cid", "space", "code", "embedding").mapInArrow(run, "cid long, space long, filters array<long>")
+
 
-    schema = "vec_id long, space string, k long, unit array<double>, filters array<int>"
-    return reps.select("vec_id", "space", "k", "embedding").mapInArrow(run, schema)
+def shared_filters(hits: DataFrame, block_rows: int) -> DataFrame:
+    """(cid, filters: array of (filter, g)): a class's filters that hold another class too, sorted,
+    with the number of blocks of each. Only ids and numbers move here."""
+    flat = hits.select("cid", "space", F.explode("filters").alias("filter"))
+    held = flat.groupBy("space", "filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    held = materialize(held.select("space", "filter", F.ceil(F.col("m") / block_rows).cast("int").alias("g")), "filter-sizes")
+    shared = flat.join(held, ["space", "filter"]).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("filter", "g"))).alias("filters"))
+    return materialize(shared, "shared-filters")
 
 
 def _earlier(lists: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which pairs of left and right rows have a number in both their lists."""
     size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    numbers, place = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    held = np.zeros((len(size), len(numbers)), np.float32)
-    held[np.repeat(np.arange(len(size)), size), place] = 1
+    numbers, place, times = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    # a number of one row alone is shared with nobody
+    shared = times > 1
+    place, row, common = (np.cumsum(shared) - 1)[place], np.repeat(np.arange(len(size)), size), shared[place]
+    held = np.zeros((len(size), int(shared.sum())), np.float32)
+    held[row[common], place[common]] = 1
     return held[left] @ held[right].T > 0
 
 
@@ -145,7 +178,7 @@ def _compare(rows: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.
     left, right = (np.arange(len(side)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     if len(left) == 0 or len(right) == 0:
         return None
-    unit = rows["unit"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+    unit = _units(rows["embedding"].combine_chunks(), len(side))
     hit = unit[left] @ unit[right].T >= cosine
     if same:
         hit = np.triu(hit, 1)
@@ -153,12 +186,12 @@ def _compare(rows: pa.Table, cosine: float) -> tuple[np.ndarray, np.ndarray, np.
         return None
     # a pair belongs to the first filter that both are in
     hit &= ~_earlier(rows["before"].combine_chunks(), left, right)
-    ids, k = rows["vec_id"].to_numpy(), rows["k"].to_numpy()
+    ids, k = rows["cid"].to_numpy(), rows["k"].to_numpy()
     tree = np.array(_forest(hit, same), np.int64).reshape(-1, 2)
-    vec_id = np.concatenate([ids[left], ids[right], ids[left][tree[:, 0]]])
+    cid = np.concatenate([ids[left], ids[right], ids[left][tree[:, 0]]])
     n = np.concatenate([hit @ k[right], hit.T @ k[left], np.full(len(tree), -1)])
     other = np.concatenate([ids[left], ids[right], ids[right][tree[:, 1]]])
-    return vec_id[n != 0], n[n != 0], other[n != 0]
+    return cid[n != 0], n[n != 0], other[n != 0]
 
 
 #: What names a comparison; rows arrive sorted by it.
@@ -194,38 +227,48 @@ def _links(pairs: DataFrame, cosine: float) -> DataFrame:
         for several in _meetings(batches):
             found = [f for f in (_compare(rows, cosine) for rows in several) if f]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["vec_id", "n", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["cid", "n", "other"])
 
-    return pairs.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(run, "vec_id long, n long, other long")
+    return pairs.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(run, "cid long, n long, other long")
+
+
+def meetings(reps: DataFrame, block_rows: int) -> DataFrame:
+    """One row per class, shared filter and block that its block meets, with the vector."""
+    shared = shared_filters(materialize(filters_of(reps), "filters"), block_rows)
+    # the vector joins its filters once; only here does it go to more than one place
+    flat = reps.select("cid", "space", "k", "embedding").join(shared, "cid").select("*", F.posexplode("filters").alias("before", "f"))
+    own = F.pmod(F.xxhash64("cid"), F.col("f.g")).cast("int")
+    placed = flat.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("f.g") - 1)))
+    return placed.select(
+        "space", F.col("f.filter").alias("filter"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"),
+        "cid", "k", "embedding", F.slice(F.col("filters.filter"), F.lit(1), F.col("before")).alias("before"),
+    )
 
 
 def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     all_rows = materialize(classes(vectors), "vectors")
     fine = all_rows.where("key is not null")
-    sizes = materialize(fine.groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("k")), "vector-classes")
+    ids = fine.groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("k"))
+    # numbers given once and written, so that they stay
+    ids = materialize(ids.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     # vectors meet within a label and a length
-    space = F.concat(F.col("label").cast("string"), F.lit(":"), F.size("embedding").cast("string")).alias("space")
-    reps = fine.join(sizes, "key").where("vec_id = rep").select("vec_id", space, "k", "embedding").dropDuplicates(["vec_id", "space"])
-    hits = materialize(_hits(reps), "filters")
-    flat = hits.select("vec_id", "space", "k", "unit", "filters", F.posexplode("filters").alias("before", "filter"))
-    members = flat.select("space", "filter").groupBy("space", "filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = materialize(members.withColumn("g", F.ceil(F.col("m") / block_rows).cast("int")), "filter-sizes")
-    placed = flat.join(members, ["space", "filter"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("g")).cast("int"))
-    # each block meets every block of its filter once
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "space", "filter", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "vec_id", "k", "unit", F.slice("filters", F.lit(1), F.col("before")).alias("before"),
-    )
-    found = _links(pairs, cosine)
-    found = materialize(found, "vector-links")
-    counts = found.where("n > 0").groupBy("vec_id").agg(F.sum("n").alias("n"))
-    links = found.where("n < 0").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))
-    comp = components(links.distinct())
-    of_rep = sizes.select("key", "rep", "k").join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    of_rep = materialize(of_rep.select("key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("comp", "rep").alias("comp"), "k"), "vector-result")
-    out = all_rows.select("vec_id", "key").join(of_rep, "key", "left")
+    spaced = fine.join(ids, "key").where("vec_id = rep").dropDuplicates(["key"]).select("cid", "k", "embedding", F.concat(F.col("label").cast("string"), F.lit(":"), F.size("embedding").cast("string")).alias("name"))
+    spaced = materialize(spaced, "vector-spaced")
+    spaces = materialize(spaced.groupBy("name").agg(_code(F.count(F.lit(1))).alias("code")).withColumn("space", F.monotonically_increasing_id()), "spaces")
+    reps = materialize(spaced.join(spaces, "name").select("cid", "space", "code", "k", "embedding"), "vector-reps")
+    found = materialize(_links(meetings(reps, block_rows), cosine), "vector-links")
+    counts = found.where("n > 0").groupBy("cid").agg(F.sum("n").alias("n"))
+    links = found.where("n < 0").select(F.col("cid").alias("a"), F.col("other").alias("b"))
+    # a vec_id with several vectors joins their classes
+    several = fine.select("vec_id", "key").distinct().join(ids.select("key", "cid"), "key").groupBy("vec_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.collect_set("cid").alias("all"))
+    same = several.where("a < z").select("a", F.explode("all").alias("b"))
+    comp = components(links.union(same).distinct())
+    # a component is named by the smallest vec_id of its classes
+    labelled = materialize(ids.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "k", "rep", "comp"), "vector-labels")
+    names = materialize(labelled.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("least")), "vector-names")
+    of_class = labelled.join(names, "comp", "left").join(counts, "cid", "left")
+    of_class = materialize(of_class.select("key", (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n"), F.coalesce("least", "rep").alias("comp")), "vector-result")
+    out = all_rows.select("vec_id", "key").join(of_class, "key", "left")
     cid = F.coalesce("comp", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce(F.col("n") + F.col("k") - 1, F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), (F.col("vec_id") == cid).alias("kept")
-    )
+    return out.select("vec_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(True)).alias("kept"))
