@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,23 +31,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a fresh local one only where none is configured."""
+    """The folder every executor can reach. Where none is configured, a local master gets a fresh
+    local one; on a cluster that would not be shared, so it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="logweave-")
         spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
 
 
+#: Intermediate tables written in the open scopes, the innermost last: (path, catalog table or "").
+_SCOPES: list[list[tuple[str, str]]] = []
+
+
+def _note(path: str, table_name: str = "") -> None:
+    if _SCOPES:
+        _SCOPES[-1].append((path, table_name))
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediates written inside are deleted at the end, but for those handed to the function
+    that it gives. What was built on the deleted ones must have been written by then."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(df._written)
+        return df
+
+    mine: list[tuple[str, str]] = []
+    _SCOPES.append(mine)
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(mine)
+        for path, table_name in mine:
+            if path in kept:
+                _note(path, table_name)
+                continue
+            if table_name:
+                spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _note(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = (path,)
+    return out
+
+
+def spare(columns, name: str) -> str:
+    """name, with underscores before it until no column has it (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def parts(spark: SparkSession) -> int:
@@ -58,7 +107,9 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     come dealt by key into parts() partitions, else many small files are written."""
     spark = df.sparkSession
     table_name = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts(spark), key).sortBy(key).option("path", f"{shared_dir(spark)}/{table_name}").format("parquet").saveAsTable(table_name)
+    path = f"{shared_dir(spark)}/{table_name}"
+    df.write.bucketBy(parts(spark), key).sortBy(key).option("path", path).format("parquet").saveAsTable(table_name)
+    _note(path, table_name)
     return spark.table(table_name)
 
 
@@ -82,24 +133,45 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     chains by pointer jumping. Rounds grow with the logarithm of the longest shortest path, for
     typical graphs. Edges are dealt once into ranges, labels in every round; what is known of a
     vertex goes to each range it is in, so neither a hub's edges nor the members of a large
-    component are one key of a join.
+    component are one key of a join. After max_rounds without an end it raises an error; rounds
+    grow with the logarithm of the graph's diameter, so 60 are far beyond any table.
     """
+    spark = edges.sparkSession
     e = edges.select("a", "b").where("a <> b")
-    both = materialize(e.union(e.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    lab = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    both, places = dealt(both, "b", "a", "edges")
-    for _ in range(max_rounds):
-        sent = lab.join(places, "id").select(F.col("id").alias("b"), "part", "comp")
-        near = both.join(sent, ["b", "part"]).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        seen = lab.join(near, "id").select("id", "comp", F.least("comp", "near").alias("near"))
-        # one row for the vertex, one that lowers its root
-        low = seen.select(F.explode(F.array("id", "comp")).alias("id"), F.col("near").alias("comp")).groupBy("id").agg(F.min("comp").alias("comp"))
-        low, ranges = dealt(low, "comp", "id", "labels")
-        roots = ranges.join(low.select("id", F.col("comp").alias("root")), "id").select(F.col("id").alias("comp"), "part", "root")
-        jump = low.join(roots, ["comp", "part"]).select("id", F.least("comp", "root").alias("comp"))
-        new = materialize(jump, "labels")
-        changed = new.join(lab.withColumnRenamed("comp", "old"), "id").where("comp <> old").limit(1).count()
-        lab = new
-        if not changed:
-            return lab
-    raise RuntimeError("components did not settle")
+    with scratch(spark) as keep:
+        both = materialize(e.union(e.select(F.col("b"), F.col("a"))).distinct(), "edges")
+        lab = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+        both, places = dealt(both, "b", "a", "edges")
+        for _ in range(max_rounds):
+            with scratch(spark) as keep_round:
+                new = keep_round(_round(lab, both, places))
+                changed = new.join(lab.withColumnRenamed("comp", "old"), "id").where("comp <> old").limit(1).count()
+            lab = new
+            if not changed:
+                return keep(lab)
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _round(lab: DataFrame, both: DataFrame, places: DataFrame) -> DataFrame:
+    sent = lab.join(places, "id").select(F.col("id").alias("b"), "part", "comp")
+    near = both.join(sent, ["b", "part"]).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
+    seen = lab.join(near, "id").select("id", "comp", F.least("comp", "near").alias("near"))
+    # one row for the vertex, one that lowers its root
+    low = seen.select(F.explode(F.array("id", "comp")).alias("id"), F.col("near").alias("comp")).groupBy("id").agg(F.min("comp").alias("comp"))
+    low, ranges = dealt(low, "comp", "id", "labels")
+    roots = ranges.join(low.select("id", F.col("comp").alias("root")), "id").select(F.col("id").alias("comp"), "part", "root")
+    jump = low.join(roots, ["comp", "part"]).select("id", F.least("comp", "root").alias("comp"))
+    return materialize(jump, "labels")
+
+
+def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (id, comp) after the further edges (a, b). Edges are first drawn between the
+    components known, so the search is over what the new edges join, not over all links again."""
+    known = lambda c, name: labels.select(F.col("id").alias(c), F.col("comp").alias(name))
+    drawn = edges.join(known("a", "ca"), "a", "left").join(known("b", "cb"), "b", "left")
+    drawn = drawn.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    moved = materialize(components(drawn).select(F.col("id").alias("comp"), F.col("comp").alias("root")), "moved")
+    old = labels.join(moved, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+    # ids that had no label yet
+    fresh = moved.select(F.col("comp").alias("id"), F.col("root").alias("comp")).join(labels.select("id"), "id", "left_anti")
+    return materialize(old.unionByName(fresh), "labels")

@@ -18,7 +18,7 @@ of the comparisons from n to 4 n, and recall at the table's dimension, against b
 1. Equal vectors of a label form a class that meets only once and counts with its size.
 2. Ids and filter numbers alone are joined with the filters of two or more members; what is
    left of a class's filters then goes with its vector, once, to the comparisons.
-3. Filters of many members are cut into blocks of BLOCK_ROWS and the blocks compared in pairs, so
+3. Filters of many members are cut into blocks and the blocks compared in pairs, so
    no task holds more than two blocks. A pair counts in the first filter that both share, so links
    are counted, never listed: per comparison only counts and a spanning forest of the links
    leave the task.
@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, scratch
 
 COSINE = 0.93
 TABLES, SEED = 3, 11
@@ -48,7 +48,8 @@ TABLES, SEED = 3, 11
 CAP, CAP_STEP = 0.945, 0.003
 #: Code words of a block: about WORDS_PER_ROOT times the root of the number of vectors, within bounds.
 WORDS_PER_ROOT, LEAST_WORDS, MOST_WORDS = 4, 16, 1 << 15
-BLOCK_ROWS = 512
+#: Rows of a block: BLOCK_ROOT times the root of a filter's members, within bounds.
+BLOCK_ROOT, BLOCK_ROWS = 4, (128, 1024)
 #: Scores of a batch that are held at a time.
 SCORES = 1 << 20
 
@@ -135,12 +136,13 @@ def filters_of(reps: DataFrame) -> DataFrame:
     return reps.select("cid", "space", "code", "embedding").mapInArrow(run, "cid long, space long, filters array<long>")
 
 
-def shared_filters(hits: DataFrame, block_rows: int) -> DataFrame:
+def shared_filters(hits: DataFrame, block_rows: tuple[int, int]) -> DataFrame:
     """(cid, filters: array of (filter, g)): a class's filters that hold another class too, sorted,
     with the number of blocks of each. Only ids and numbers move here."""
     flat = hits.select("cid", "space", F.explode("filters").alias("filter"))
     held = flat.groupBy("space", "filter").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    held = materialize(held.select("space", "filter", F.ceil(F.col("m") / block_rows).cast("int").alias("g")), "filter-sizes")
+    rows = F.least(F.greatest(F.sqrt(F.col("m").cast("double")) * BLOCK_ROOT, F.lit(float(block_rows[0]))), F.lit(float(block_rows[1])))
+    held = materialize(held.select("space", "filter", F.ceil(F.col("m") / rows).cast("int").alias("g")), "filter-sizes")
     shared = flat.join(held, ["space", "filter"]).groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("filter", "g"))).alias("filters"))
     return materialize(shared, "shared-filters")
 
@@ -232,7 +234,7 @@ def _links(pairs: DataFrame, cosine: float) -> DataFrame:
     return pairs.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(run, "cid long, n long, other long")
 
 
-def meetings(reps: DataFrame, block_rows: int) -> DataFrame:
+def meetings(reps: DataFrame, block_rows: tuple[int, int]) -> DataFrame:
     """One row per class, shared filter and block that its block meets, with the vector."""
     shared = shared_filters(materialize(filters_of(reps), "filters"), block_rows)
     # the vector joins its filters once; only here does it go to more than one place
@@ -245,9 +247,18 @@ def meetings(reps: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
-def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: tuple[int, int] = BLOCK_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    all_rows = materialize(classes(vectors), "vectors")
+    with scratch(vectors.sparkSession) as keep:
+        all_rows = keep(materialize(classes(vectors), "vectors"))
+        of_class = keep(_class_results(all_rows, cosine, block_rows))
+    out = all_rows.select("vec_id", "key").join(of_class, "key", "left")
+    cid = F.coalesce("comp", "vec_id")
+    return out.select("vec_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(True)).alias("kept"))
+
+
+def _class_results(all_rows: DataFrame, cosine: float, block_rows: tuple[int, int]) -> DataFrame:
+    """(key, n, comp): links and component of every class of equal vectors."""
     fine = all_rows.where("key is not null")
     ids = fine.groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("k"))
     # numbers given once and written, so that they stay
@@ -268,7 +279,4 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, block_rows: int
     labelled = materialize(ids.join(comp.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "k", "rep", "comp"), "vector-labels")
     names = materialize(labelled.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("least")), "vector-names")
     of_class = labelled.join(names, "comp", "left").join(counts, "cid", "left")
-    of_class = materialize(of_class.select("key", (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n"), F.coalesce("least", "rep").alias("comp")), "vector-result")
-    out = all_rows.select("vec_id", "key").join(of_class, "key", "left")
-    cid = F.coalesce("comp", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(True)).alias("kept"))
+    return materialize(of_class.select("key", (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n"), F.coalesce("least", "rep").alias("comp")), "vector-result")

@@ -7,8 +7,9 @@ slot and compares all 32 bytes, so a nonmember can never be taken for a member.
 folded into their slot; nonmembers are grouped among themselves.
 
 Defined results: null text counts as empty; repeated rows of one doc_id count as rows, each
-returned; ties keep the largest doc_id; rows with a null doc_id never win against another;
-an empty table gives an empty result; further input columns are ignored.
+returned; ties keep the largest doc_id; rows with a null doc_id never win against another, and
+where a text has no other rows its keep_id is null and one of them is kept; an empty table
+gives an empty result; further input columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ from .common import ascii_lower, materialize
 
 #: Digests of one index shard; bounds the memory of a lookup task.
 SHARD_KEYS = 2048
+#: The winner of rows that all have no doc_id.
+NOBODY = -(2**63)
 _INDEX = "shard long, pilots binary, digests binary, winners binary, counts binary"
 _WINNERS = "digest binary, keep_id long, n long"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text with A-Z lower-cased."""
+    """(doc_id, digest, row): SHA-256 of the text with A-Z lower-cased; row numbers rows without a doc_id."""
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row"))
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -57,7 +60,7 @@ def build_index(distinct: DataFrame, n_shards: int) -> DataFrame:
         slot_digests = np.empty_like(d)
         slot_digests[at] = d
         win, cnt = np.empty(len(d), "<i8"), np.empty(len(d), "<i8")
-        win[at] = pdf["keep_id"].fillna(-(2**63)).to_numpy("int64")
+        win[at] = pdf["keep_id"].fillna(NOBODY).to_numpy("int64")
         cnt[at] = pdf["n"].to_numpy("int64")
         return pd.DataFrame(
             {"shard": [int(pdf["shard"].iloc[0])], "pilots": [pilots.tobytes()], "digests": [slot_digests.tobytes()], "winners": [win.tobytes()], "counts": [cnt.tobytes()]}
@@ -82,7 +85,7 @@ def lookup(incoming: DataFrame, index: DataFrame, n_shards: int) -> DataFrame:
             d = _array(left["digest"])
             at = mph.slots(pilots, len(known), d)
             member = (known[at] == d).all(axis=1)
-            ids = left["keep_id"].fillna(-(2**63)).to_numpy("int64")
+            ids = left["keep_id"].fillna(NOBODY).to_numpy("int64")
             win[at[member]] = np.maximum(win[at[member]], ids[member])
             cnt[at[member]] += left["n"].to_numpy("int64")[member]
             fresh = left[~member]
@@ -108,12 +111,12 @@ def exact_dedup(docs: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     groups = lookup(_distinct(rows.where(~past)), index, n_shards)
     # only repeated digests need a join; every other row keeps itself
     repeats = materialize(groups.where("n > 1"), "repeats")
-    j = rows.join(repeats, "digest", "left")
-    keep = F.coalesce("keep_id", "doc_id")
-    return j.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-        (F.col("doc_id") == keep).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    j = rows.join(repeats.withColumn("keep_id", F.when(F.col("keep_id") != NOBODY, F.col("keep_id"))), "digest", "left")
+    alone = F.col("n").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    # of rows without an id the first one stays, if no row has one
+    nobody = rows.where("doc_id is null").groupBy("digest").agg(F.min("row").alias("first"))
+    nobody = materialize(nobody.withColumnRenamed("digest", "d"), "nobody")
+    j = j.join(nobody, (F.col("digest") == F.col("d")) & F.col("doc_id").isNull(), "left")
+    stays = F.when(keep.isNull(), F.col("row") == F.col("first")).otherwise(F.coalesce(F.col("doc_id") == keep, F.lit(False)))
+    return j.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"), stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -7,7 +7,9 @@ min_chars (of the key) always stay. Documents are reassembled in line order.
 
 Defined results: null or empty text is one empty line; repeated rows of one doc_id count as
 one document and are cut alike; ties cannot occur (the largest doc_id is unique); an empty
-table gives an empty result; other columns pass through untouched.
+table gives an empty result; rows with a null doc_id are no document that counts, and keep all
+their lines; other columns pass through untouched, and where one is called n_lines or n_dropped the
+count of that name has underscores before it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK, LOWER, UPPER, ascii_lower, materialize
+from .common import BLANK, LOWER, UPPER, ascii_lower, materialize, spare
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -36,7 +38,7 @@ def line_key(line: str) -> str:
 
 def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(h, doc_id) of the keys to drop from doc_id: frequent, and held by a larger doc_id."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split("text", "\n", -1)).alias("line"))
     keys = lines.where(F.length("line") >= min_chars).select("doc_id", _key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
     hashed = materialize(keys.select("doc_id", F.unhex(F.md5(F.col("k").cast("binary"))).alias("h")).distinct(), "line-keys")
     hot = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).select("h", "last")
@@ -45,19 +47,20 @@ def frequent_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return hashed.join(hot, "h").where("doc_id < last").select("h", "doc_id")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with text cut, plus n_lines and n_dropped."""
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, counts: bool = True) -> DataFrame:
+    """docs with text cut, plus n_lines and n_dropped unless counts is off."""
     drops = frequent_lines(docs, min_chars, min_docs)
-    per_doc = drops.groupBy("doc_id").agg(F.collect_list("h").alias("__drop"))
-    # the document's own columns keep their places; names of ours cannot clash with theirs
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*own, F.col("doc_id").cast("long").alias("__id")).join(per_doc.withColumnRenamed("doc_id", "__id"), "__id", "left")
-    schema = T.StructType([docs.schema[c] for c in own] + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    own = docs.columns
+    key, dropped = spare(own, "key"), spare(own, "dropped")
+    per_doc = drops.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("h").alias(dropped))
+    joined = docs.withColumn(key, F.col("doc_id").cast("long")).join(per_doc, key, "left")
+    more = [spare(own, "n_lines"), spare(own, "n_dropped")] if counts else []
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in more]])
     at = own.index("text")
 
     def cut(batches):
         for b in batches:
-            texts, drop = b.column("text").to_pylist(), b.column("__drop").to_pylist()
+            texts, drop = b.column(at).to_pylist(), b.column(len(own)).to_pylist()
             kept, n_lines, n_dropped = [], [], []
             for t, d in zip(texts, drop):
                 lines = (t or "").split("\n")
@@ -73,8 +76,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
                 else:
                     n_dropped.append(0)
                 kept.append(t or "")
-            cols = [b.column(c) for c in own]
+            cols = [b.column(i) for i in range(len(own))]
             cols[at] = pa.array(kept, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
+            tail = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())] if more else []
+            yield pa.RecordBatch.from_arrays([*cols, *tail], names=schema.names)
 
-    return joined.select(*own, "__drop").mapInArrow(cut, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in own], F.col(dropped)).mapInArrow(cut, schema)

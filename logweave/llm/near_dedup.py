@@ -18,16 +18,26 @@ at least percent / 100, and kept when they have the smallest doc_id of their lin
 3. Stars first: each list compares its members with one centre, the most central one. What
    the stars link needs no more pairs. Lists whose members then lie in different
    components compare members across components: all of them in short lists; in long lists a
-   further star, then what lies outside the list's largest component against members of
-   similar size, in blocks of bounded size. So no link between components is lost, and a
-   family of near copies costs about linear work.
-4. Overlaps pass a size bound and the union-sketch estimate (at least ESTIMATE, which a pair at
+   further star, then step 4. So no link between components is lost, and a family of near
+   copies costs about linear work.
+4. A long list that still spans components holds a passage in documents that are otherwise
+   unlike. Its smallest member is its base. Documents that are linked by the passage alone are
+   linked to the base too, as it adds least to the union. What a member has beyond the base is its
+   rest; the RESTS smallest values of the rest make lists of their own, in which members meet
+   that share more than the passage. With a share q of a member outside the base, a partner at
+   0.8 has at least 1 - 0.2 / q of both rests in common, so these lists miss it with a
+   probability of (0.2 / q) ** RESTS, under 1e-6 for q of REST_SHARE or more. Long lists of rests
+   (a second common passage) go through the step again. Only members with less outside the base
+   that are still not linked to the list's largest component are compared in blocks, with members of
+   similar size that have as little outside.
+5. Overlaps pass a size bound and the union-sketch estimate (at least ESTIMATE, which a pair at
    0.8 misses with probability under 1e-7); exact Jaccard over full sets confirms them.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing; texts with
-fewer words than a shingle count as one shingle; repeated rows of one doc_id are one vertex and
-each returned; ties keep the smallest doc_id; an empty table gives an empty result; other
-columns are ignored.
+fewer words than a shingle count as one shingle; rows of one doc_id are one vertex,
+with all their texts if these differ, and each returned; ties keep the smallest doc_id; rows with a
+null doc_id link with nothing, have a null component and are kept; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, dealt, materialize, parts
+from .common import bucketed, components, dealt, joined_components, materialize, parts, scratch, spare
 
 SKETCH, LISTS, HOT, ESTIMATE = 64, 16, 50, 0.5
 #: Lists of the second kind, and the larger sketch and closer estimate for blocks of long lists:
@@ -49,6 +59,8 @@ HOT_LISTS, WIDE_SKETCH, WIDE_ESTIMATE = 10, 256, 0.68
 COLD, MIXED = 0.25, 0.55
 #: Rounds of further stars within long lists before the remaining members are compared in blocks.
 STAR_ROUNDS = 1
+#: Values of a rest that make lists, the share from which they suffice, and how often lists of rests are taken further.
+RESTS, REST_SHARE, REST_ROUNDS = 32, 0.31, 2
 #: Rows of a block.
 BLOCK = 256
 
@@ -115,6 +127,16 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return _texts(docs).mapInPandas(run, "id long, s array<long>")
 
 
+def fingerprints(sets: DataFrame) -> DataFrame:
+    """sets with fp as sketches() gives it."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(fp=[hashlib.md5(np.asarray(s, np.int64).tobytes()).digest() for s in pdf["s"]])
+
+    return sets.mapInPandas(run, "id long, s array<long>, fp binary")
+
+
 def _similar_sizes(a: str, b: str, percent: int):
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
@@ -227,13 +249,6 @@ def _overlaps(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     good = np.where(whole, common * 100 >= (nx + ny - common) * percent, common >= WIDE_ESTIMATE * union)
     good &= (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent)
     good &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-    # a pair belongs to the list of its smallest common key
-    here = int(pdf["v"].iloc[0])
-    lower, heads = np.searchsorted(values, here), [d["sk"].map(lambda k: k[:HOT_LISTS]) for d in (left, right)]
-    if lower:
-        values = values[:lower]
-        (p, _), (q, _) = (incidence(pd.DataFrame({"sk": h}), np.concatenate(h.to_list())) for h in heads)
-        good &= p @ q.T == 0
     i, j = np.nonzero(good)
     # of exact links between the same two components one is enough
     sure = whole[i, j]
@@ -243,13 +258,13 @@ def _overlaps(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _long_rest(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Overlapping pairs across components in long lists: what is outside the list's largest
-    component against all members of similar size."""
-    cls = long.withColumn("z", _within_reach(F.col("n")))
-    outside = _outside(cls).withColumn("z", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)))
-    both = materialize(outside.withColumn("side", F.lit(0)).unionByName(cls.withColumn("side", F.lit(1))), "outside")
-    key = ["tag", "v", "z"]
+def _blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Overlapping pairs across components among the members of a list, (g, doc_id, n, comp, outside):
+    those outside the list's largest component against all members of similar size."""
+    cls = held.withColumn("z", _within_reach(F.col("n")))
+    outside = cls.where("outside").withColumn("z", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)))
+    both = materialize(outside.withColumn("side", F.lit(0)).unionByName(cls.withColumn("side", F.lit(1))).drop("outside"), "outside")
+    key = ["g", "z"]
     count = lambda k: F.ceil(F.sum(F.when(F.col("side") == k, 1).otherwise(0)) / BLOCK).cast("int")
     blocks = materialize(both.groupBy(*key).agg(count(0).alias("g0"), count(1).alias("g1")).where("g0 > 0 and g1 > 0"), "blocks")
     own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("side") == 0, F.col("g0")).otherwise(F.col("g1"))).cast("int")
@@ -263,45 +278,157 @@ def _long_rest(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy(*key, "x", "y").applyInPandas(lambda pdf: _overlaps(pdf, percent), "a long, b long").distinct()
 
 
-def near_links(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Verified links between representatives that join exactly the components of all links."""
+def _across(short: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of short lists in different components and of similar size."""
+    x, y = (d.select("tag", "v", *[F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "comp")]) for d, s in ((short, "a"), (short, "b")))
+    found = x.join(y, ["tag", "v"]).where((F.col("doc_ida") < F.col("doc_idb")) & (F.col("compa") != F.col("compb")) & _similar_sizes("na", "nb", percent))
+    return found.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"))
+
+
+def _based(long: DataFrame) -> DataFrame:
+    """(base, doc_id, n): members of long lists under their list's smallest member, once for each."""
+    base = materialize(long.groupBy("tag", "v").agg(F.min(F.struct("n", "doc_id")).alias("least")).select("tag", "v", F.col("least.doc_id").alias("base")), "bases")
+    return materialize(long.join(base, ["tag", "v"]).where("doc_id <> base").select("base", "doc_id", "n").distinct(), "based")
+
+
+def _rests(based: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """based with linked (to the base), q (the share outside the base) and rest (its smallest values)."""
+    got = _joined(based.select(F.col("base").alias("a"), F.col("doc_id").alias("b")), sets, "s")
+    rest = F.array_except("sb", "sa")
+    both = F.size("sb") - F.size("rest")
+    got = got.select("a", "b", F.size("sa").alias("na"), F.col("sb"), rest.alias("rest"))
+    return materialize(
+        got.select(
+            F.col("a").alias("base"), F.col("b").alias("doc_id"), F.size("sb").cast("long").alias("n"), (both * 100 >= (F.col("na") + F.size("rest")) * percent).alias("linked"),
+            (F.size("rest") / F.size("sb")).alias("q"), F.slice("rest", 1, RESTS).alias("rest"),
+        ),
+        "rests",
+    )
+
+
+def _rest_links(open_members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components among the members of long lists (step 4)."""
+    links, long = None, open_members
+    for turn in range(REST_ROUNDS):
+        rests = _rests(_based(long), sets, percent)
+        mine = rests.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        held = materialize(mine, "rest-members")
+        keys = held.select("doc_id", "n", "comp", F.xxhash64(F.lit(turn), "base").alias("tag"), F.explode("rest").alias("v"))
+        sizes = materialize(keys.groupBy("tag", "v").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tag", "v", "m"), "rest-lists")
+        lists = materialize(keys.join(sizes, ["tag", "v"]), "rest-postings")
+        pairs = _across(lists.where(F.col("m") <= HOT), percent)
+        # too little outside the base for lists: blocks, unless in the list's largest component
+        close = held.where(F.col("q") < REST_SHARE).select(F.col("base").alias("g"), "doc_id", "n", "comp")
+        found = pairs.union(_blocks(_marked(close), sets, percent))
+        new = _verified(_estimated(found.distinct(), reps, percent), sets, percent).unionByName(rests.where("linked").select(F.col("base").alias("a"), F.col("doc_id").alias("b")))
+        links = new if links is None else links.unionByName(new)
+        long = lists.where(F.col("m") > HOT)
+        if not long.limit(1).count():
+            return links
+        labels = joined_components(labels, new)
+        long = _with_comp(long.select("tag", "v", "doc_id", "n", "m"), labels)
+    # lists that are long after every round: blocks over all their members
+    rest = _marked(long.select(F.xxhash64("tag", "v").alias("g"), "doc_id", "n", "comp"))
+    return links.unionByName(_verified(_estimated(_blocks(rest, sets, percent), reps, percent), sets, percent))
+
+
+def _marked(held: DataFrame) -> DataFrame:
+    """held (g, doc_id, n, comp) with whether a member lies outside its list's largest component."""
+    sizes = held.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = materialize(sizes.groupBy("g").agg(F.max(F.struct("k", "comp")).alias("t")).select("g", F.col("t.comp").alias("main")), "main")
+    return held.join(main, "g").select("g", "doc_id", "n", "comp", (F.col("comp") != F.col("main")).alias("outside"))
+
+
+def near_labels(reps: DataFrame, sets_of, percent: int, more: DataFrame | None = None) -> DataFrame:
+    """(id, comp) of the representatives that are linked, more being further edges (a, b).
+    sets_of gives the full sets (id, s), bucketed by id, of a table of ids."""
     members = _postings(reps)
-    dealt = _texts(docs).repartition(parts(docs.sparkSession), "doc_id")
-    needed = dealt.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = bucketed(full_sets(needed, width), "id", "sets")
+    sets = sets_of(members.select(F.col("doc_id").alias("id")).distinct())
     links = _verified(_estimated(_stars(members), reps, percent), sets, percent)
+    labels = components(links if more is None else links.unionByName(more))
     for _ in range(STAR_ROUNDS):
-        left = _with_comp(members.where(F.col("m") > HOT), components(links))
+        left = _with_comp(members.where(F.col("m") > HOT), labels)
         # a further centre per long list, from outside the list's largest component
         centres = materialize(_outside(left).groupBy("tag", "v").agg(F.min(F.struct("doc_id", "comp")).alias("c")).select("tag", "v", "c.*").toDF("tag", "v", "centre", "cc"), "centres")
         pairs = left.join(centres, ["tag", "v"]).where("comp <> cc").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-        links = links.union(_verified(_estimated(pairs, reps, percent), sets, percent))
-    m = _with_comp(members, components(links))
-    short = m.where(F.col("m") <= HOT)
-    x, y = (d.select("tag", "v", *[F.col(c).alias(f"{c}{s}") for c in ("doc_id", "n", "comp")]) for d, s in ((short, "a"), (short, "b")))
-    across = x.join(y, ["tag", "v"]).where((F.col("doc_ida") < F.col("doc_idb")) & (F.col("compa") != F.col("compb")) & _similar_sizes("na", "nb", percent))
-    pairs = across.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).union(_long_rest(m.where(F.col("m") > HOT), sets, percent)).distinct()
-    return links.union(_verified(_estimated(pairs, reps, percent), sets, percent))
+        labels = joined_components(labels, _verified(_estimated(pairs, reps, percent), sets, percent))
+    m = _with_comp(members, labels)
+    pairs = _across(m.where(F.col("m") <= HOT), percent).distinct()
+    labels = joined_components(labels, _verified(_estimated(pairs, reps, percent), sets, percent))
+    left = _with_comp(m.where(F.col("m") > HOT).drop("comp"), labels)
+    return joined_components(labels, _rest_links(left, labels, reps, sets, percent))
+
+
+def _renamed(base: DataFrame) -> DataFrame | None:
+    """(doc_id, fp, id): numbers beyond all doc_ids for the texts of a doc_id that has several."""
+    some = base.where("n > 0")
+    several = some.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("doc_id")
+    texts = materialize(some.join(several, "doc_id").select("doc_id", "fp").distinct(), "several-texts")
+    if not texts.limit(1).count():
+        return None
+    lo, hi = base.agg(F.min("doc_id"), F.max("doc_id")).first()
+    at = F.monotonically_increasing_id() + 1
+    # ids are written once, so that they stay
+    return materialize(texts.withColumn("id", F.lit(hi) + at if hi < 2**62 else F.lit(lo) - at), "several-ids")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    base = materialize(sketches(docs, width), "sketches")
-    classes = materialize(base.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    dealt = base.where("n > 0").repartition(parts(docs.sparkSession), "doc_id")
-    reps = dealt.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = bucketed(reps.select(F.col("doc_id").alias("id"), "n", "sk"), "id", "reps")
-    links = near_links(docs, reps, width, percent)
-    # a class of copies is a star around its representative
-    copies = materialize(classes.where("size > 1").select("fp", "rep"), "copied")
-    stars = base.where("n > 0").join(copies, "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    comp = components(links.union(stars))
-    out = base.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    cid = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), (F.col("doc_id") == cid).alias("kept"))
+    with scratch(docs.sparkSession) as keep:
+        base = keep(materialize(sketches(docs, width), "sketches"))
+        of_class = keep(_class_components(docs, base, width, percent))
+    # documents without words have no class; a key of their own each, so that they don't meet in one task
+    own = F.when(F.col("n") > 0, F.col("fp")).otherwise(F.unhex(F.md5(F.concat(F.lit("none:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))))
+    out = base.withColumn("own", own).join(of_class.withColumnRenamed("fp", "own"), "own", "left")
+    cid = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+
+
+def _class_components(docs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
+    """(fp, comp): the component of every set of shingles."""
+    renamed = _renamed(base.where("doc_id is not null"))
+    rows = base.where("doc_id is not null and n > 0")
+    if renamed is None:
+        rows = rows.withColumn("id", F.col("doc_id"))
+    else:
+        rows = materialize(rows.join(renamed, ["doc_id", "fp"], "left").withColumn("id", F.coalesce("id", "doc_id")), "vertices")
+    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    dealt = rows.repartition(parts(docs.sparkSession), "id")
+    reps = dealt.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    reps = bucketed(reps.select("id", "n", "sk"), "id", "reps")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts = _texts(docs).repartition(parts(docs.sparkSession), "doc_id")
+        needed = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sets = full_sets(needed, width)
+        if renamed is not None:
+            own = texts.join(renamed.select("doc_id").distinct(), "doc_id", "left_semi")
+            own = fingerprints(full_sets(own, width)).withColumnRenamed("id", "doc_id").join(renamed, ["doc_id", "fp"]).select("id", "s")
+            own = own.join(ids, "id", "left_semi").dropDuplicates(["id"])
+            sets = sets.unionByName(own).repartition(parts(docs.sparkSession), "id")
+        return bucketed(sets, "id", "sets")
+
+    # the texts of one doc_id are linked through their classes
+    more = None
+    if renamed is not None:
+        own = renamed.join(classes, "fp").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all"))
+        more = own.select("a", F.explode("all").alias("b")).where("a <> b")
+    labels = near_labels(reps, sets_of, percent, more)
+    # copies take the label of their representative
+    of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("comp", "rep").alias("comp"))
+    if renamed is not None:
+        # the smallest doc_id may be behind a number of its own
+        of_class = materialize(of_class, "class-labels")
+        names = materialize(renamed.join(of_class, "fp").groupBy("comp").agg(F.min("doc_id").alias("least")), "class-names")
+        true = F.when(F.col("comp").between(*base.agg(F.min("doc_id"), F.max("doc_id")).first()), F.col("comp"))
+        of_class = of_class.join(names, "comp", "left").select("fp", F.coalesce(F.least("least", true), true, "least").alias("comp"))
+    return materialize(of_class, "class-components")
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that stay: one document of each component."""
-    gone = near_dedup(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(materialize(gone, "gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = spare(docs.columns, "gone")
+    with scratch(docs.sparkSession) as keep:
+        found = near_dedup(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+        gone = keep(materialize(found, "gone"))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -7,7 +7,7 @@ longest length left; a bitset subset-sum dynamic program over the lengths still
 often as its lengths last, so each step uses up a length and the plan has few patterns.
 
 Pieces are matched with the plan by their rank among pieces of their length. Ranks come from
-windows over (length, bucket) plus the bucket's offset, with as many buckets as the row count asks
+windows over (length, bucket) plus the bucket's offset (prefix sums over blocks of buckets), with as many buckets as the row count asks
 for, so a length that holds any share of the rows is never gathered in one task.
 
 Defined results: null text counts as empty, an empty text is one piece (its closing id); repeated
@@ -126,8 +126,13 @@ def ranked(pieces: DataFrame, rank_rows: int = RANK_ROWS) -> tuple[DataFrame, di
     # the bucket depends on the row's content only: a task that runs again gives the same ranks
     b = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)))
     sizes = b.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    # prefix sums in two levels, so that the buckets of a frequent length are not one task either
+    side = max(1, math.isqrt(n_buckets))
+    sizes = materialize(sizes.withColumn("block", F.floor(F.col("bucket") / side).cast("int")), "bucket-sizes")
+    blocks = sizes.groupBy("length", "block").agg(F.sum("n").alias("n"))
+    earlier = lambda order, *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = blocks.select("length", "block", earlier("block", "length").alias("head"))
+    offsets = sizes.withColumn("inner", earlier("bucket", "length", "block")).join(heads, ["length", "block"]).select("length", "bucket", (F.col("head") + F.col("inner")).alias("ahead"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
     out = b.withColumn("rn", within).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.col("rn") - 1)
     return out.drop("bucket", "rn", "ahead"), histogram

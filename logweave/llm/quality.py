@@ -7,8 +7,8 @@ feature's lookup table. Pairs of features that explain most of what is left then
 over their two bins, boosted the same way. A document's score is the sigmoid of the sum of its
 table entries, looked up by vectorised bin numbers.
 
-The fit reads at most MAX_LABELLED labelled rows, in the order of a hash of doc_id; scoring
-reads every row. The folds: rows whose crc32 of the decimal doc_id leaves HELD_OUT modulo FOLDS are
+The fit reads at most MAX_LABELLED distinct labels, in the order of a hash of doc_id, and one text
+for each (of several under a doc_id, that with the smallest features); scoring reads every row. The folds: rows whose crc32 of the decimal doc_id leaves HELD_OUT modulo FOLDS are
 never learnt from. Labels, lang, source and doc_id are never features.
 
 Defined results: null text counts as empty; empty texts are scored like others; repeated rows
@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,27 +201,26 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
     return model
 
 
-def _matrix(batches):
-    for pdf in batches:
-        yield pd.DataFrame({"x": [features(t) for t in pdf["text"]], "y": pdf["y"]})
-
-
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Gam:
     """Fit on labelled rows outside the held-out fold."""
+    key = F.col("doc_id").cast("long")
     lab = (
-        labels.select(F.col("doc_id").alias("__l"), F.col("quality").cast("double").alias("y"))
-        .where("y is not null and __l is not null")
-        .where(~held_out(F.col("__l")))
-        .orderBy(F.xxhash64("__l"), "__l", "y")
+        labels.select(key.alias("id"), F.col("quality").cast("double").alias("y"))
+        .where(F.col("y").isNotNull() & ~F.isnan("y") & F.col("id").isNotNull())
+        .where(~held_out(F.col("id"))).distinct()
+        .orderBy(F.xxhash64("id"), "id", "y")
         .limit(max_labelled)
-    )
+    )
     # the labelled side is bounded by max_labelled rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(lab), F.col("doc_id") == F.col("__l")).select("doc_id", "text", "y")
-    got = rows.select("doc_id", "text", "y").mapInPandas(
-        lambda it: (pd.DataFrame({"doc_id": p["doc_id"], "x": [features(t) for t in p["text"]], "y": p["y"]}) for p in it),
-        "doc_id long, x array<double>, y double",
-    ).limit(2 * max_labelled).toPandas()
-    got = got.sort_values(["doc_id", "y"], kind="stable")
+    rows = docs.select(key.alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(lab), "id")
+
+    def read(batches):
+        for p in batches:
+            yield pd.DataFrame({"id": p["id"], "y": p["y"], "x": [features(t) for t in p["text"]]})
+
+    # of several texts of a doc_id the smallest vector counts, so there is one row per label
+    got = rows.mapInPandas(read, "id long, y double, x array<double>").groupBy("id", "y").agg(F.min("x").alias("x")).toPandas()
+    got = got.sort_values(["id", "y"], kind="stable")
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy(float))
 
@@ -247,12 +247,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the model accepts."""
     model = train(docs, labels)
-    spare = "__accepted"
-    schema = docs.select("*", F.lit(True).alias(spare)).schema
+    at = docs.columns.index("text")
 
+    # as Arrow batches, so that the other columns pass through as they are
     def run(batches):
-        for pdf in batches:
-            x = np.array([features(t) for t in pdf["text"]], dtype=float).reshape(-1, len(FEATURES))
-            yield pdf.assign(**{spare: model.score(x) >= THRESHOLD})
+        for b in batches:
+            x = np.array([features(t) for t in b.column(at).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return docs.mapInPandas(run, schema).where(spare).drop(spare)
+    return docs.mapInArrow(run, docs.schema)

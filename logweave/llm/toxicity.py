@@ -7,8 +7,12 @@ its smoothed shares among toxic and other texts. A logistic model is fitted to t
 features scaled by r, so features that don't separate the classes start near nothing. Weight
 times ratio is kept per feature: scoring a text adds up one table over its distinct features.
 
-The fit reads at most MAX_PER_CLASS labelled rows of each class, in the order of a hash of
-doc_id; scoring reads every row and whole texts. The folds: rows whose crc32 of the decimal
+Features seen in one labelled text only, or with a ratio within LEAST_RATIO of 0, have no weight.
+
+The fit reads at most MAX_PER_CLASS distinct labels of each class, in the order of a hash of
+doc_id, and one text for each (of several under a doc_id, that with the smallest features). Texts are
+hashed on the executors; the driver gets counts per feature and the sample's separating features.
+Scoring reads every row and whole texts. The folds: rows whose crc32 of the decimal
 doc_id leaves HELD_OUT modulo FOLDS are never learnt from. Labels, lang, source and doc_id are
 never features.
 
@@ -27,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, scratch
+
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 N_MIN, N_MAX, BITS = 3, 6, 20
@@ -74,32 +80,28 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str | None], y: np.ndarray) -> Linear:
-    """Full-batch gradient descent with per-feature step sizes."""
+def log_ratios(p: np.ndarray, q: np.ndarray, toxic: int, other: int) -> np.ndarray:
+    """Log-count ratio of every feature from its counts; 0 for those without a say."""
+    p, q = p + SMOOTH, q + SMOOTH
+    ratio = np.log(p / (toxic + 2 * SMOOTH)) - np.log(q / (other + 2 * SMOOTH))
+    ratio[((p + q) < 2 * SMOOTH + 2) | (np.abs(ratio) <= LEAST_RATIO)] = 0
+    return ratio
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, mean_features: float) -> Linear:
+    """Full-batch gradient descent with per-feature step sizes, over the rows' features that have a ratio."""
     size = 1 << BITS
     if len(y) == 0 or y.min() == y.max():
         rate = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 0.5
         return Linear(np.zeros(size, np.float32), float(np.log(rate / (1 - rate))))
-    stamp = np.zeros(size, np.int32)
-    p, q, total = np.full(size, SMOOTH), np.full(size, SMOOTH), 0
-    for t, label in zip(texts, y):
-        found = _present(t, stamp)
-        (p if label else q)[found] += 1
-        total += len(found)
-    ratio = np.log(p / (y.sum() + 2 * SMOOTH)) - np.log(q / ((1 - y).sum() + 2 * SMOOTH))
-    # seen once or never: no say
-    ratio[(p + q) < 2 * SMOOTH + 2] = 0
-    used = np.flatnonzero(np.abs(ratio) > LEAST_RATIO)
-    # only columns that separate the classes take part; the rest would keep weights near nothing
+    used = np.flatnonzero(ratio)
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    rows = [(c := place[_present(t, stamp)])[c >= 0] for t in texts]
-    col = np.concatenate(rows)
+    col = place[np.concatenate(rows)]
     row = np.repeat(np.arange(len(y), dtype=np.int32), [len(x) for x in rows])
-    del rows
     r = ratio[used].astype(np.float32)
     w, b = np.zeros(len(used), np.float32), float(np.log(y.mean() / (1 - y.mean())))
-    scale = 1.0 / np.sqrt(max(1.0, total / len(y)))
+    scale = 1.0 / np.sqrt(max(1.0, mean_features))
     value = (r * np.float32(scale))[col]
     sq, sqb = np.full(len(used), 1e-8), 1e-8
     # both classes weigh the same, whatever their numbers
@@ -123,20 +125,44 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Linear:
-    lab = (
-        labels.select(F.col("doc_id").alias("__l"), F.col("toxic").cast("int").alias("y"))
-        .where("y in (0, 1) and __l is not null")
-        .where(~held_out(F.col("__l")))
-    )
+def labelled_features(docs: DataFrame, labels: DataFrame, max_per_class: int) -> DataFrame:
+    """(id, y, x): the features of the training sample, hashed on the executors."""
+    key = F.col("doc_id").cast("long")
+    lab = labels.select(key.alias("id"), F.col("toxic").cast("int").alias("y")).where("y in (0, 1) and id is not null").where(~held_out(F.col("id"))).distinct()
     picked = None
     for k in (0, 1):
-        part = lab.where(F.col("y") == k).orderBy(F.xxhash64("__l"), "__l").limit(max_per_class)
+        part = lab.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(max_per_class)
         picked = part if picked is None else picked.union(part)
     # bounded: two classes of at most max_per_class rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__l")).select("doc_id", "text", "y")
-    got = rows.limit(4 * max_per_class).toPandas().sort_values(["doc_id", "y"], kind="stable")
-    return fit(got["text"].tolist(), got["y"].to_numpy(float))
+    rows = docs.select(key.alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
+
+    def run(batches):
+        stamp = np.zeros(1 << BITS, np.int32)
+        for p in batches:
+            yield pd.DataFrame({"id": p["id"], "y": p["y"], "x": [np.sort(_present(t, stamp)).astype(np.int32) for t in p["text"]]})
+
+    return rows.mapInPandas(run, "id long, y int, x array<int>").groupBy("id", "y").agg(F.min("x").alias("x"))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Linear:
+    with scratch(docs.sparkSession):
+        sample = materialize(labelled_features(docs, labels, max_per_class), "toxicity-sample")
+        size = 1 << BITS
+        # at most 2**BITS rows, whatever the texts
+        counts = sample.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).toPandas()
+        p, n = np.zeros(size), np.zeros(size)
+        p[counts["f"]], n[counts["f"]] = counts["p"], counts["n"]
+        per = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+        ratio = log_ratios(p, n - p, per.get(1, 0), per.get(0, 0))
+        says = ratio != 0
+
+        def separating(batches):
+            for pdf in batches:
+                yield pdf.assign(x=[np.asarray(x, np.int32)[says[x]] for x in pdf["x"]])
+
+        # only what separates the classes reaches the driver
+        got = sample.mapInPandas(separating, sample.schema).toPandas().sort_values(["id", "y"], kind="stable")
+    return fit([np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy(float), ratio, n.sum() / max(1, len(got)))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def test_links_equal_brute_force_over_the_table(spark):
     label = np.array([r["label"] for r in rows])
     hit = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
     np.fill_diagonal(hit, False)
-    got = {r["vec_id"]: r for r in E.embedding_dedup(v, block_rows=16).collect()}
+    got = {r["vec_id"]: r for r in E.embedding_dedup(v, block_rows=(16, 16)).collect()}
     found = np.array([got[r["vec_id"]]["n_links"] for r in rows])
     assert (found <= hit.sum(1)).all() and found.sum() >= 0.98 * hit.sum()
 
