@@ -1,7 +1,11 @@
 """The training-data pipeline: filter, deduplicate, redact and pack a corpus.
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; all but the
-last return the columns of documents.
+last return the columns of documents, whatever these are called.
+
+Defined results, for every stage: an empty table gives an empty result; null text counts as empty;
+repeated rows are rows of their own, but copies for the near-duplicate stage, where all rows of the doc_id that
+stays remain; ties go to the smallest doc_id there and to the largest in the line stage.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm.common import materialize, table
+from logweave.llm.common import materialize, scratch, table
 from logweave.llm.line_dedup import line_dedup
 from logweave.llm.near_dedup import keep_first
 from logweave.llm.packing import best_fit_packing
@@ -32,7 +36,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
-    return _resized(line_dedup(docs), docs.columns)
+    return _resized(line_dedup(docs, counts=False), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +62,15 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained models and tokenizers are beyond SQL; the tests hold the pipeline against brute force.
+#: Trained models and tokenizers are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each stage keeps is written before the next one starts."""
+    """All stages over documents; what each stage keeps is written before the next one starts, and
+    what it needed in between is deleted then."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)
