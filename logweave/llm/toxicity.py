@@ -10,7 +10,7 @@ times ratio is kept per feature: scoring a text adds up one table over its disti
 Features seen in one labelled text only, or with a ratio within LEAST_RATIO of 0, have no weight.
 
 The fit reads at most MAX_PER_CLASS distinct labels of each class, in the order of a hash of
-doc_id, and one text for each (of several under a doc_id, that with the smallest features). Texts are
+doc_id, and one text for each (of several under a doc_id, that with the smallest hash). Texts are
 hashed on the executors; the driver gets counts per feature and the sample's separating features.
 Scoring reads every row and whole texts. The folds: rows whose crc32 of the decimal
 doc_id leaves HELD_OUT modulo FOLDS are never learnt from. Labels, lang, source and doc_id are
@@ -134,22 +134,33 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_per_class: int) ->
         part = lab.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(max_per_class)
         picked = part if picked is None else picked.union(part)
     # bounded: two classes of at most max_per_class rows of two numbers
-    rows = docs.select(key.alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")
+    rows = docs.select(key.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t")).select("id", "y", "t.text")
 
     def run(batches):
         stamp = np.zeros(1 << BITS, np.int32)
         for p in batches:
             yield pd.DataFrame({"id": p["id"], "y": p["y"], "x": [np.sort(_present(t, stamp)).astype(np.int32) for t in p["text"]]})
 
-    return rows.mapInPandas(run, "id long, y int, x array<int>").groupBy("id", "y").agg(F.min("x").alias("x"))
+    return rows.mapInPandas(run, "id long, y int, x array<int>")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Linear:
     with scratch(docs.sparkSession):
         sample = materialize(labelled_features(docs, labels, max_per_class), "toxicity-sample")
         size = 1 << BITS
+
+        def counted(batches):
+            p, n = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for pdf in batches:
+                for y, x in zip(pdf["y"], pdf["x"]):
+                    n[x] += 1
+                    p[x] += y
+            f = np.flatnonzero(n)
+            yield pd.DataFrame({"f": f, "p": p[f], "n": n[f]})
+
         # at most 2**BITS rows, whatever the texts
-        counts = sample.select("y", F.explode("x").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).toPandas()
+        counts = sample.mapInPandas(counted, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).toPandas()
         p, n = np.zeros(size), np.zeros(size)
         p[counts["f"]], n[counts["f"]] = counts["p"], counts["n"]
         per = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
