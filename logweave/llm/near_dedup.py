@@ -20,7 +20,9 @@ at least percent / 100, and kept when they have the smallest doc_id of their lin
    components compare members across components: all of them in short lists; in long lists a
    further star, then step 4. So no link between components is lost, and a family of near
    copies costs about linear work.
-4. A long list that still spans components holds a passage in documents that are otherwise
+4. A long list may still span components. With at most OUTSIDE members outside its largest
+   component, these are compared with members of similar size in blocks, OUTSIDE / BLOCK of them
+   for each member. With more, it holds a passage in documents that are otherwise
    unlike. Its smallest member is its base. Documents that are linked by the passage alone are
    linked to the base too, as it adds least to the union. What a member has beyond the base is its
    rest; the RESTS smallest values of the rest make lists of their own, in which members meet
@@ -28,8 +30,7 @@ at least percent / 100, and kept when they have the smallest doc_id of their lin
    0.8 has at least 1 - 0.2 / q of both rests in common, so these lists miss it with a
    probability of (0.2 / q) ** RESTS, under 1e-6 for q of REST_SHARE or more. Long lists of rests
    (a second common passage) go through the step again. Only members with less outside the base
-   that are still not linked to the list's largest component are compared in blocks, with members of
-   similar size that have as little outside.
+   are compared in blocks, among themselves.
 5. Overlaps pass a size bound and the union-sketch estimate (at least ESTIMATE, which a pair at
    0.8 misses with probability under 1e-7); exact Jaccard over full sets confirms them.
 
@@ -61,6 +62,9 @@ COLD, MIXED = 0.25, 0.55
 STAR_ROUNDS = 1
 #: Values of a rest that make lists, the share from which they suffice, and how often lists of rests are taken further.
 RESTS, REST_SHARE, REST_ROUNDS = 32, 0.31, 2
+#: Lists with no more members outside their largest component go through blocks at once: every other member meets a bounded number of blocks.
+OUTSIDE = 2048
+COLUMNS = ("tag", "v", "doc_id", "n", "comp")
 #: Rows of a block.
 BLOCK = 256
 
@@ -221,7 +225,7 @@ def _within_reach(n):
     return F.floor(F.log(n) / F.log(F.lit(1.26))).cast("int")
 
 
-def _overlaps(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _overlaps(pdf: pd.DataFrame, percent: int, first_key: bool) -> pd.DataFrame:
     """Pairs of one block of outside members with one block of members whose sketches overlap
     enough to pass the estimate, by one product of the two incidence matrices."""
     left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
@@ -249,6 +253,14 @@ def _overlaps(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     good = np.where(whole, common * 100 >= (nx + ny - common) * percent, common >= WIDE_ESTIMATE * union)
     good &= (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent)
     good &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+    if first_key:
+        # a pair belongs to the list of its smallest common key
+        here = int(pdf["v"].iloc[0])
+        lower, heads = np.searchsorted(values, here), [d["sk"].map(lambda k: k[:HOT_LISTS]) for d in (left, right)]
+        if lower:
+            values = values[:lower]
+            (p, _), (q, _) = (incidence(pd.DataFrame({"sk": h}), np.concatenate(h.to_list())) for h in heads)
+            good &= p @ q.T == 0
     i, j = np.nonzero(good)
     # of exact links between the same two components one is enough
     sure = whole[i, j]
@@ -258,13 +270,14 @@ def _overlaps(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Overlapping pairs across components among the members of a list, (g, doc_id, n, comp, outside):
-    those outside the list's largest component against all members of similar size."""
-    cls = held.withColumn("z", _within_reach(F.col("n")))
-    outside = cls.where("outside").withColumn("z", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)))
-    both = materialize(outside.withColumn("side", F.lit(0)).unionByName(cls.withColumn("side", F.lit(1))).drop("outside"), "outside")
-    key = ["g", "z"]
+def _in_blocks(held: DataFrame, sets: DataFrame, percent: int, first_key: bool) -> DataFrame:
+    """Overlapping pairs across components among the members of lists (tag, v): those outside the
+    list's largest component against all of similar size. With first_key, the lists are those
+    of sketch values and a pair is given by the first of them that has both."""
+    cls = held.select("tag", "v", "doc_id", "n", "comp").withColumn("z", _within_reach(F.col("n")))
+    outside = _outside(cls).withColumn("z", F.explode(F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)))
+    both = materialize(outside.withColumn("side", F.lit(0)).unionByName(cls.withColumn("side", F.lit(1))), "outside")
+    key = ["tag", "v", "z"]
     count = lambda k: F.ceil(F.sum(F.when(F.col("side") == k, 1).otherwise(0)) / BLOCK).cast("int")
     blocks = materialize(both.groupBy(*key).agg(count(0).alias("g0"), count(1).alias("g1")).where("g0 > 0 and g1 > 0"), "blocks")
     own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("side") == 0, F.col("g0")).otherwise(F.col("g1"))).cast("int")
@@ -275,7 +288,7 @@ def _blocks(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = placed.select(*key, x.alias("x"), y.alias("y"), "side", "doc_id", "n", "comp").join(sets.select(F.col("id").alias("doc_id"), F.slice("s", 1, WIDE_SKETCH).alias("sk")), "doc_id")
     # many small groups with much work in each: keep all partitions
     dealt = rows.repartition(parts(rows.sparkSession), *key, "x", "y")
-    return dealt.groupBy(*key, "x", "y").applyInPandas(lambda pdf: _overlaps(pdf, percent), "a long, b long").distinct()
+    return dealt.groupBy(*key, "x", "y").applyInPandas(lambda pdf: _overlaps(pdf, percent, first_key), "a long, b long").distinct()
 
 
 def _across(short: DataFrame, percent: int) -> DataFrame:
@@ -285,12 +298,6 @@ def _across(short: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"))
 
 
-def _based(long: DataFrame) -> DataFrame:
-    """(base, doc_id, n): members of long lists under their list's smallest member, once for each."""
-    base = materialize(long.groupBy("tag", "v").agg(F.min(F.struct("n", "doc_id")).alias("least")).select("tag", "v", F.col("least.doc_id").alias("base")), "bases")
-    return materialize(long.join(base, ["tag", "v"]).where("doc_id <> base").select("base", "doc_id", "n").distinct(), "based")
-
-
 def _rests(based: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """based with linked (to the base), q (the share outside the base) and rest (its smallest values)."""
     got = _joined(based.select(F.col("base").alias("a"), F.col("doc_id").alias("b")), sets, "s")
@@ -306,37 +313,40 @@ def _rests(based: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _rest_links(open_members: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _divided(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of lists with at most OUTSIDE members outside the largest component, and of the others."""
+    sizes = held.groupBy("tag", "v", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tag", "v").agg((F.sum("k") - F.max("k")).alias("out"))
+    heavy = materialize(sizes.where(F.col("out") > OUTSIDE).select("tag", "v"), "heavy-lists")
+    return held.join(heavy, ["tag", "v"], "left_anti"), materialize(held.join(heavy, ["tag", "v"]), "heavy-members")
+
+
+def _long_links(held: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components among the members of long lists (step 4)."""
-    links, long = None, open_members
+    verified = lambda pairs: _verified(_estimated(pairs.distinct(), reps, percent), sets, percent)
+    light, heavy = _divided(held)
+    links, first_key = None, True
     for turn in range(REST_ROUNDS):
-        rests = _rests(_based(long), sets, percent)
+        if not heavy.limit(1).count():
+            break
+        base = materialize(heavy.groupBy("tag", "v").agg(F.min(F.struct("n", "doc_id")).alias("least")).select("tag", "v", F.col("least.doc_id").alias("base")), "bases")
+        based = materialize(heavy.join(base, ["tag", "v"]), "based")
+        rests = _rests(based.where("doc_id <> base").select("base", "doc_id").distinct(), sets, percent)
         mine = rests.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        held = materialize(mine, "rest-members")
-        keys = held.select("doc_id", "n", "comp", F.xxhash64(F.lit(turn), "base").alias("tag"), F.explode("rest").alias("v"))
+        keys = mine.select("doc_id", "n", "comp", F.xxhash64(F.lit(turn), "base").alias("tag"), F.explode("rest").alias("v"))
         sizes = materialize(keys.groupBy("tag", "v").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tag", "v", "m"), "rest-lists")
         lists = materialize(keys.join(sizes, ["tag", "v"]), "rest-postings")
         pairs = _across(lists.where(F.col("m") <= HOT), percent)
-        # too little outside the base for lists: blocks, unless in the list's largest component
-        close = held.where(F.col("q") < REST_SHARE).select(F.col("base").alias("g"), "doc_id", "n", "comp")
-        found = pairs.union(_blocks(_marked(close), sets, percent))
-        new = _verified(_estimated(found.distinct(), reps, percent), sets, percent).unionByName(rests.where("linked").select(F.col("base").alias("a"), F.col("doc_id").alias("b")))
+        # too little outside the base for lists: blocks, as for the light lists
+        close = based.join(rests.select("base", "doc_id", "q"), ["base", "doc_id"], "left").where(F.coalesce("q", F.lit(0.0)) < REST_SHARE).select(*COLUMNS)
+        pairs = pairs.union(_in_blocks(light.select(*COLUMNS).unionByName(close), sets, percent, first_key))
+        new = verified(pairs).unionByName(rests.where("linked").select(F.col("base").alias("a"), F.col("doc_id").alias("b")))
         links = new if links is None else links.unionByName(new)
-        long = lists.where(F.col("m") > HOT)
-        if not long.limit(1).count():
-            return links
         labels = joined_components(labels, new)
-        long = _with_comp(long.select("tag", "v", "doc_id", "n", "m"), labels)
-    # lists that are long after every round: blocks over all their members
-    rest = _marked(long.select(F.xxhash64("tag", "v").alias("g"), "doc_id", "n", "comp"))
-    return links.unionByName(_verified(_estimated(_blocks(rest, sets, percent), reps, percent), sets, percent))
-
-
-def _marked(held: DataFrame) -> DataFrame:
-    """held (g, doc_id, n, comp) with whether a member lies outside its list's largest component."""
-    sizes = held.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = materialize(sizes.groupBy("g").agg(F.max(F.struct("k", "comp")).alias("t")).select("g", F.col("t.comp").alias("main")), "main")
-    return held.join(main, "g").select("g", "doc_id", "n", "comp", (F.col("comp") != F.col("main")).alias("outside"))
+        light, heavy = _divided(_with_comp(lists.where(F.col("m") > HOT).select("tag", "v", "doc_id", "n"), labels))
+        first_key = False
+    # what is still heavy after every round goes through blocks too, so that no link is lost
+    last = verified(_in_blocks(light.select(*COLUMNS).unionByName(heavy.select(*COLUMNS)), sets, percent, first_key))
+    return last if links is None else links.unionByName(last)
 
 
 def near_labels(reps: DataFrame, sets_of, percent: int, more: DataFrame | None = None) -> DataFrame:
@@ -356,7 +366,7 @@ def near_labels(reps: DataFrame, sets_of, percent: int, more: DataFrame | None =
     pairs = _across(m.where(F.col("m") <= HOT), percent).distinct()
     labels = joined_components(labels, _verified(_estimated(pairs, reps, percent), sets, percent))
     left = _with_comp(m.where(F.col("m") > HOT).drop("comp"), labels)
-    return joined_components(labels, _rest_links(left, labels, reps, sets, percent))
+    return joined_components(labels, _long_links(left, labels, reps, sets, percent))
 
 
 def _renamed(base: DataFrame) -> DataFrame | None:

@@ -34,7 +34,9 @@ def passage_rows(rng, n, shares):
     return rows
 
 
-def test_documents_of_one_passage_equal_brute_force(spark):
+@pytest.mark.parametrize("outside", [10, 2048])
+def test_documents_of_one_passage_equal_brute_force(spark, monkeypatch, outside):
+    monkeypatch.setattr(near_dedup, "OUTSIDE", outside)
     rng = random.Random(8)
     rows = passage_rows(rng, 260, [0.05, 0.1, 0.11, 0.12, 0.15, 0.25, 0.4, 0.6])
     want = brute_near(rows, 4)
@@ -47,10 +49,11 @@ def test_pairs_grow_with_the_members_of_a_passage(spark, monkeypatch):
     per = []
     for n in (300, 1200):
         work = []
-        estimated, blocks = near_dedup._estimated, near_dedup._blocks
+        estimated, blocks = near_dedup._estimated, near_dedup._in_blocks
         with monkeypatch.context() as m:
             m.setattr(near_dedup, "_estimated", lambda p, *a: work.append(p.count()) or estimated(p, *a))
-            m.setattr(near_dedup, "_blocks", lambda h, *a: work.append(h.where("outside").count()) or blocks(h, *a))
+            m.setattr(near_dedup, "OUTSIDE", 100)
+            m.setattr(near_dedup, "_in_blocks", lambda h, *a: work.append(h.count()) or blocks(h, *a))
             got = result(spark, passage_rows(random.Random(9), n, [0.4, 0.5, 0.6]))
         assert sum(not r["kept"] for r in got) == n // 10
         per.append(sum(work) / n)
