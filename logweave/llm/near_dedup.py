@@ -320,11 +320,11 @@ def _divided(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held.join(heavy, ["tag", "v"], "left_anti"), materialize(held.join(heavy, ["tag", "v"]), "heavy-members")
 
 
-def _long_links(held: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components among the members of long lists (step 4)."""
+def _remaining_links(held: DataFrame, short: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components: those among the pairs of short lists, and among the members of long ones (step 4)."""
     verified = lambda pairs: _verified(_estimated(pairs.distinct(), reps, percent), sets, percent)
     light, heavy = _divided(held)
-    links, first_key = None, True
+    links, first_key, more = None, True, short
     for turn in range(REST_ROUNDS):
         if not heavy.limit(1).count():
             break
@@ -339,13 +339,15 @@ def _long_links(held: DataFrame, labels: DataFrame, reps: DataFrame, sets: DataF
         # too little outside the base for lists: blocks, as for the light lists
         close = based.join(rests.select("base", "doc_id", "q"), ["base", "doc_id"], "left").where(F.coalesce("q", F.lit(0.0)) < REST_SHARE).select(*COLUMNS)
         pairs = pairs.union(_in_blocks(light.select(*COLUMNS).unionByName(close), sets, percent, first_key))
+        pairs, more = pairs if more is None else pairs.union(more), None
         new = verified(pairs).unionByName(rests.where("linked").select(F.col("base").alias("a"), F.col("doc_id").alias("b")))
         links = new if links is None else links.unionByName(new)
         labels = joined_components(labels, new)
         light, heavy = _divided(_with_comp(lists.where(F.col("m") > HOT).select("tag", "v", "doc_id", "n"), labels))
         first_key = False
     # what is still heavy after every round goes through blocks too, so that no link is lost
-    last = verified(_in_blocks(light.select(*COLUMNS).unionByName(heavy.select(*COLUMNS)), sets, percent, first_key))
+    pairs = _in_blocks(light.select(*COLUMNS).unionByName(heavy.select(*COLUMNS)), sets, percent, first_key)
+    last = verified(pairs if more is None else pairs.union(more))
     return last if links is None else links.unionByName(last)
 
 
@@ -363,10 +365,8 @@ def near_labels(reps: DataFrame, sets_of, percent: int, more: DataFrame | None =
         pairs = left.join(centres, ["tag", "v"]).where("comp <> cc").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
         labels = joined_components(labels, _verified(_estimated(pairs, reps, percent), sets, percent))
     m = _with_comp(members, labels)
-    pairs = _across(m.where(F.col("m") <= HOT), percent).distinct()
-    labels = joined_components(labels, _verified(_estimated(pairs, reps, percent), sets, percent))
-    left = _with_comp(m.where(F.col("m") > HOT).drop("comp"), labels)
-    return joined_components(labels, _long_links(left, labels, reps, sets, percent))
+    short = _across(m.where(F.col("m") <= HOT), percent)
+    return joined_components(labels, _remaining_links(m.where(F.col("m") > HOT), short, labels, reps, sets, percent))
 
 
 def _renamed(base: DataFrame) -> DataFrame | None:
