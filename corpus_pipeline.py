@@ -62,7 +62,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained models and tokenizers are beyond SQL; the tests hold the stages against brute force.
+#: Trained models and tokenizers are beyond SQL; tests hold the operators of the other stages
+#: against brute force, and the whole for what its stages promise.
 ORACLE_SQL = None
 
 
