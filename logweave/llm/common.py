@@ -117,11 +117,16 @@ def ascii_lower(c):
     return F.translate(c, UPPER, LOWER)
 
 
-def dealt(df: DataFrame, key: str, tie: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """df sorted into ranges of (key, tie), with its range as part; and the parts that each key is
-    in, as (id, part). A join on key and part then never has all of a hot key in one task."""
-    df = materialize(df.repartitionByRange(key, tie).withColumn("part", F.spark_partition_id()), f"{name}-dealt")
-    return df, materialize(df.select(F.col(key).alias("id"), "part").distinct(), f"{name}-places")
+def dealt(df: DataFrame, key: str, tie: str, name: str) -> DataFrame:
+    """df written in ranges of (key, tie), with its range as part. A join on key and part, with what
+    is known of a key sent to its places(), then never has all of a hot key in one task. Ranges
+    are sampled first, so df should end in a shuffle, else its work is done twice."""
+    return materialize(df.repartitionByRange(key, tie).withColumn("part", F.spark_partition_id()), f"{name}-dealt")
+
+
+def places(df: DataFrame, key: str) -> DataFrame:
+    """(id, part): the parts that each key of a dealt table is in."""
+    return df.select(F.col(key).alias("id"), "part").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -139,12 +144,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     spark = edges.sparkSession
     e = edges.select("a", "b").where("a <> b")
     with scratch(spark) as keep:
-        both = materialize(e.union(e.select(F.col("b"), F.col("a"))).distinct(), "edges")
+        both = dealt(e.union(e.select(F.col("b"), F.col("a"))).distinct(), "b", "a", "edges")
         lab = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-        both, places = dealt(both, "b", "a", "edges")
+        if not lab.limit(1).count():
+            return keep(lab)
+        sent_to = materialize(places(both, "b"), "edges-places")
         for _ in range(max_rounds):
             with scratch(spark) as keep_round:
-                new = keep_round(_round(lab, both, places))
+                new = keep_round(_round(lab, both, sent_to))
                 changed = new.join(lab.withColumnRenamed("comp", "old"), "id").where("comp <> old").limit(1).count()
             lab = new
             if not changed:
@@ -152,14 +159,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _round(lab: DataFrame, both: DataFrame, places: DataFrame) -> DataFrame:
-    sent = lab.join(places, "id").select(F.col("id").alias("b"), "part", "comp")
+def _round(lab: DataFrame, both: DataFrame, sent_to: DataFrame) -> DataFrame:
+    sent = lab.join(sent_to, "id").select(F.col("id").alias("b"), "part", "comp")
     near = both.join(sent, ["b", "part"]).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
     seen = lab.join(near, "id").select("id", "comp", F.least("comp", "near").alias("near"))
     # one row for the vertex, one that lowers its root
     low = seen.select(F.explode(F.array("id", "comp")).alias("id"), F.col("near").alias("comp")).groupBy("id").agg(F.min("comp").alias("comp"))
-    low, ranges = dealt(low, "comp", "id", "labels")
-    roots = ranges.join(low.select("id", F.col("comp").alias("root")), "id").select(F.col("id").alias("comp"), "part", "root")
+    low = dealt(low, "comp", "id", "labels")
+    roots = places(low, "comp").join(low.select("id", F.col("comp").alias("root")), "id").select(F.col("id").alias("comp"), "part", "root")
     jump = low.join(roots, ["comp", "part"]).select("id", F.least("comp", "root").alias("comp"))
     return materialize(jump, "labels")
 
@@ -170,7 +177,9 @@ def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
     known = lambda c, name: labels.select(F.col("id").alias(c), F.col("comp").alias(name))
     drawn = edges.join(known("a", "ca"), "a", "left").join(known("b", "cb"), "b", "left")
     drawn = drawn.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
-    moved = materialize(components(drawn).select(F.col("id").alias("comp"), F.col("comp").alias("root")), "moved")
+    moved = components(drawn).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    if not moved.limit(1).count():
+        return labels
     old = labels.join(moved, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
     # ids that had no label yet
     fresh = moved.select(F.col("comp").alias("id"), F.col("root").alias("comp")).join(labels.select("id"), "id", "left_anti")

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, dealt, joined_components, materialize, parts, scratch, spare
+from .common import bucketed, components, dealt, joined_components, materialize, parts, places, scratch, spare
 
 SKETCH, LISTS, HOT, ESTIMATE = 64, 16, 50, 0.5
 #: Lists of the second kind, and the larger sketch and closer estimate for blocks of long lists:
@@ -152,23 +152,22 @@ def _estimate(a, b):
 
 
 def _joined(pairs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
-    """Pairs (a, b) with the columns of both; rows is bucketed by id. The first join moves only
-    the pairs, by b. Pairs are dealt into ranges of (a, b) and a's columns go to each range it is
+    """Pairs (a, b, part) with the columns of both; rows is bucketed by id. The first join moves only
+    the pairs, by b. Pairs come dealt into ranges of (a, b) and a's columns go to each range it is
     in, so the pairs of a hub are never one key of the second join."""
     side = lambda d, x, *more: d.select(F.col("id").alias(x), *more, *[F.col(c).alias(f"{c}{x}") for c in cols])
-    pairs, places = dealt(pairs, "a", "b", "pairs")
-    return pairs.join(side(rows, "b"), "b").join(side(rows.join(places, "id"), "a", "part"), ["a", "part"])
+    return pairs.join(side(rows, "b"), "b").join(side(rows.join(places(pairs, "a"), "id"), "a", "part"), ["a", "part"])
 
 
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass the size bound and the union-sketch estimate."""
-    got = _joined(materialize(pairs, "overlaps"), reps, "n", "sk")
-    return got.where(_similar_sizes("na", "nb", percent)).where(_estimate(F.col("ska"), F.col("skb")) >= ESTIMATE).select("a", "b")
+    """Dealt pairs (a, b, part), of distinct ones, that pass the size bound and the union-sketch estimate."""
+    got = _joined(dealt(pairs, "a", "b", "overlaps"), reps, "n", "sk")
+    return materialize(got.where(_similar_sizes("na", "nb", percent)).where(_estimate(F.col("ska"), F.col("skb")) >= ESTIMATE).select("a", "b", "part"), "candidates")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
-    got = _joined(materialize(pairs, "candidates"), sets, "s")
+    """Those pairs (a, b) of dealt ones whose full sets are similar enough."""
+    got = _joined(pairs, sets, "s")
     both = F.size(F.array_intersect("sa", "sb"))
     return materialize(got.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b"), "links")
 
@@ -300,7 +299,7 @@ def _across(short: DataFrame, percent: int) -> DataFrame:
 
 def _rests(based: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """based with linked (to the base), q (the share outside the base) and rest (its smallest values)."""
-    got = _joined(based.select(F.col("base").alias("a"), F.col("doc_id").alias("b")), sets, "s")
+    got = _joined(dealt(based.select(F.col("base").alias("a"), F.col("doc_id").alias("b")), "a", "b", "based"), sets, "s")
     rest = F.array_except("sb", "sa")
     both = F.size("sb") - F.size("rest")
     got = got.select("a", "b", F.size("sa").alias("na"), F.col("sb"), rest.alias("rest"))
